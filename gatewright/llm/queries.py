@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .packing import op4_packing
 from .substring_dedup import op1_substring_dedup
+from .token_counts import op2_token_counts
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_token_counts": op2_token_counts,
+    "op4_packing": op4_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
