@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .near_duplicates import op9_near_duplicates
 from .packing import op4_packing
 from .substring_dedup import op1_substring_dedup
 from .token_counts import op2_token_counts
@@ -10,6 +11,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
     "op4_packing": op4_packing,
+    "op9_near_duplicates": op9_near_duplicates,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -49,9 +49,14 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads."""
+        for name in names:
+            with contextlib.suppress(Exception):
+                self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}"), True)
+
+    def drop_all(self) -> None:
+        """Delete every table, once nothing that was returned is read any more."""
         with contextlib.suppress(Exception):
-            for name in names or ("",):
-                self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/")), True)
+            self._fs.delete(self._path, True)
 
     def sweep(self) -> None:
         """Let Spark's cleaner drop shuffle files of frames that are no longer referenced."""
