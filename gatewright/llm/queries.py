@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from . import license_scan
+from .license_scan import op3_license_scan
 from .near_duplicates import op9_near_duplicates
 from .packing import op4_packing
+from .quality_rules import op5_quality_rules
 from .substring_dedup import op1_substring_dedup
 from .token_counts import op2_token_counts
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
+    "op3_license_scan": op3_license_scan,
     "op4_packing": op4_packing,
+    "op5_quality_rules": op5_quality_rules,
     "op9_near_duplicates": op9_near_duplicates,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_license_scan": license_scan.oracle_sql(),
+}
