@@ -9,6 +9,7 @@ from .packing import op4_packing
 from .quality_rules import op5_quality_rules
 from .substring_dedup import op1_substring_dedup
 from .token_counts import op2_token_counts
+from .toxicity import op6_toxicity
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
+    "op6_toxicity": op6_toxicity,
     "op9_near_duplicates": op9_near_duplicates,
 }
 
