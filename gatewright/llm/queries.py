@@ -7,9 +7,11 @@ from .license_scan import op3_license_scan
 from .near_duplicates import op9_near_duplicates
 from .packing import op4_packing
 from .quality_rules import op5_quality_rules
+from .source_mix import op7_source_mix
 from .substring_dedup import op1_substring_dedup
 from .token_counts import op2_token_counts
 from .toxicity import op6_toxicity
+from .vector_search import op8_vector_search
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -18,6 +20,8 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
     "op6_toxicity": op6_toxicity,
+    "op7_source_mix": op7_source_mix,
+    "op8_vector_search": op8_vector_search,
     "op9_near_duplicates": op9_near_duplicates,
 }
 
