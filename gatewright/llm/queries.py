@@ -12,6 +12,7 @@ from .substring_dedup import op1_substring_dedup
 from .token_counts import op2_token_counts
 from .toxicity import op6_toxicity
 from .vector_search import op8_vector_search
+from .warc import op10_warc
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -23,8 +24,17 @@ QUERIES = {
     "op7_source_mix": op7_source_mix,
     "op8_vector_search": op8_vector_search,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_warc": op10_warc,
 }
 
+#: Of records with equal payloads of 1000 bytes or more, the one with the largest id is the response.
+_WARC_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS n FROM pages),
+t AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
+CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to FROM t"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op10_warc": _WARC_SQL,
     "op3_license_scan": license_scan.oracle_sql(),
 }
