@@ -29,8 +29,20 @@ def let_workers_import(spark: SparkSession) -> None:
             sc.environment["PYTHONPATH"] = ":".join([root, *paths])
 
 
+_OPEN: list["Scratch"] = []
+
+
+def release(kept: DataFrame) -> None:
+    """Delete the tables of all earlier calls but those that `kept` still reads: what they returned has been written elsewhere."""
+    files = kept.inputFiles()
+    for scratch in [s for s in _OPEN if s.spark is kept.sparkSession]:
+        if not any(scratch.root.split(":", 1)[-1].lstrip("/") in f for f in files):
+            scratch.drop_all()
+            _OPEN.remove(scratch)
+
+
 class Scratch:
-    """Tables of one operator call. Each is written once and read back, which cuts lineage and survives lost executors."""
+    """Tables of one operator call. Each is written once and read back, which cuts lineage and survives lost executors. They go when the session ends, or by release()."""
 
     def __init__(self, spark: SparkSession, what: str):
         let_workers_import(spark)
@@ -40,6 +52,7 @@ class Scratch:
         self._path = jvm.org.apache.hadoop.fs.Path(self.root)
         self._fs = self._path.getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.deleteOnExit(self._path)
+        _OPEN.append(self)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and return a reader of the written table."""
