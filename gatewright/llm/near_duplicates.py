@@ -208,7 +208,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
                 has = size > 0
                 begin = at[:-1][has]
                 sig = signatures(values, begin)
-                bands = hashing.mix(sum(sig.reshape(len(sig), BANDS, -1)[:, :, i] * _FACTOR[i] for i in range(HASHES // BANDS)) + np.arange(BANDS, dtype=np.uint64))
+                bands = hashing.mix(sum(sig.reshape(len(sig), BANDS, HASHES // BANDS)[:, :, i] * _FACTOR[i] for i in range(HASHES // BANDS)) + np.arange(BANDS, dtype=np.uint64))
                 digest = [np.add.reduceat(hashing.mix(values ^ s), begin).view(np.int64) if len(begin) else np.zeros(0, np.int64) for s in _SEEDS[:2]]
                 spread = np.cumsum(has) - 1
 
