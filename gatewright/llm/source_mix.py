@@ -55,6 +55,7 @@ def targets(sizes: np.ndarray, weights: np.ndarray, share: float, most: float) -
 def sainte_lague(votes: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray:
     """Seats by highest quotients votes / (2 k + 1), none above `most`; of equal quotients the first counts."""
     votes = np.asarray(votes, float)
+    most = np.where(votes > 0, most, 0)
     seats = int(min(seats, most.sum()))
     given = np.zeros(len(votes), np.int64)
     if not votes.sum() or seats <= 0:
