@@ -17,8 +17,7 @@ MOST_ORDINARY texts, least by a hash of their id, and SAMPLE_CHARS characters of
 each; the driver holds no more. Of near copies in it (by one MinHash value) one
 is used. Scoring covers every whole text and is a map without a shuffle.
 
-Defined results: null or blank text has no windows and a score under the
-threshold; rows whose id is null count as not held out, and teach nothing; of
+Defined results: null or blank text has no windows and scores 0; rows whose id is null count as not held out, and teach nothing; of
 two labels of one id the higher counts; without a toxic or an ordinary label all
 scores are 0; an empty table gives an empty result; input columns named
 held_out, score or predicted give way to the result's.
@@ -155,7 +154,10 @@ class Model:
         saved, top = self.saver(), np.log(THRESHOLD / (1 - THRESHOLD))
 
         def score(text: str | None) -> float:
-            x = self.slope * (self._z(saved(text_windows(text))) - self.cut) + top
+            windows = text_windows(text)
+            if not windows:
+                return 0.0
+            x = self.slope * (self._z(saved(windows)) - self.cut) + top
             return float(1 / (1 + np.exp(-min(50.0, max(-50.0, x)))))
 
         return score
