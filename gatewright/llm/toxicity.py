@@ -40,7 +40,7 @@ from . import hashing
 from .scratch import let_workers_import
 
 MOST_TOXIC, MOST_ORDINARY, SAMPLE_CHARS = 2500, 5000, 20_000
-BASE_BYTES, CLASS_BYTES, LEVEL = 96 << 10, 2 << 10, 6
+BASE_BYTES, CLASS_BYTES, FILL_BYTES, LEVEL = 96 << 10, 2 << 10, 64, 6
 THRESHOLD = 0.7
 OUT = ("held_out", "score", "predicted")
 _WINDOW = re.compile(rb"(?: [^ ]+){1,16}")
@@ -87,8 +87,9 @@ class Model:
         stem = re.compile(b"|".join(map(re.escape, sorted(stems, key=len))) or b"$^")
         alike = b"".join(b" " + w for window in plain for w in window.split() if stem.search(w))
         alike = _WINDOW.findall(alike)
-        self.toxic = _train(CLASS_BYTES, picked, 16, 6) + base
-        self.ordinary = _train(CLASS_BYTES, alike + plain[:: max(1, len(plain) // (len(alike) + 1000))], 16, 6) + base
+        parts = _train(CLASS_BYTES, picked, 16, 6), _train(CLASS_BYTES, alike + plain[:: max(1, len(plain) // (len(alike) + 1000))], 16, 6)
+        # the class part is of one length, so the base is as far from either; being far, it pays for long matches only
+        self.toxic, self.ordinary = (part.rjust(CLASS_BYTES) + base for part in parts)
         saved = self.saver()
         ordinary_windows = np.array([v for doc in good_held for v in saved(doc)] or [0.0])
         self.mean, self.variance = float(ordinary_windows.mean()), float(ordinary_windows.var() + 0.25)
@@ -142,7 +143,9 @@ class Model:
             use = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             packs.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=use, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
         toxic, ordinary = packs
-        return lambda windows: [max(0, len(ordinary(w)) - len(toxic(w))) for w in windows]
+        # both dictionaries end with the same bytes; with them behind it, no window is stored as it is because little of it is matched
+        end = self.toxic[-FILL_BYTES:]
+        return lambda windows: [max(0, len(ordinary(w + end)) - len(toxic(w + end))) for w in windows]
 
     def _z(self, saved: list[int]) -> float:
         n = len(saved)
