@@ -57,7 +57,7 @@ class Scratch:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and return a reader of the written table."""
         at = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(at)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, *names: str) -> None:

@@ -166,7 +166,9 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, *, id_col
     shard = F.get(array(first), bucket) + F.when(F.get(array(spread), bucket) > 1, F.pmod(F.xxhash64("content", "url", "place"), F.get(array(spread), bucket)).cast("int")).otherwise(0)
     small = rows.select("id", "url", "content", "place").join(held, "content").where("place <> refers_row").select("place", "refers_to", "refers_url", "refers_row")
     small = scratch.table(small, "revisits")
-    joined = rows.join(small, "place", "left").withColumn("shard", shard)
+    # a revisit's payload is not written, so it is not shuffled
+    payload = F.when(F.col("refers_row").isNull(), F.col("payload"))
+    joined = rows.join(small, "place", "left").withColumns({"shard": shard, "payload": payload})
     n = first[-1] + spread[-1]
     dealt = joined.repartition(max(1, min(n, 4096)), "shard").sortWithinPartitions("shard", F.asc_nulls_first("id"), "url", "content", "place")
     base = folder.rstrip("/")
