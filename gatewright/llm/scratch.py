@@ -32,11 +32,16 @@ def let_workers_import(spark: SparkSession) -> None:
 _OPEN: list["Scratch"] = []
 
 
-def release(kept: DataFrame) -> None:
-    """Delete the tables of all earlier calls but those that `kept` still reads: what they returned has been written elsewhere."""
-    files = kept.inputFiles()
-    for scratch in [s for s in _OPEN if s.spark is kept.sparkSession]:
-        if not any(scratch.root.split(":", 1)[-1].lstrip("/") in f for f in files):
+def opened(since: int = 0) -> list["Scratch"]:
+    """All scratch folders of this process that are in use, from the given number on."""
+    return _OPEN[since:]
+
+
+def release(scratches: list["Scratch"], kept: DataFrame) -> None:
+    """Delete the tables of calls whose results have been written elsewhere, but those that `kept` still reads."""
+    files = kept.inputFiles() if scratches else []
+    for scratch in scratches:
+        if scratch in _OPEN and not any(scratch.root.split(":", 1)[-1].lstrip("/") in f for f in files):
             scratch.drop_all()
             _OPEN.remove(scratch)
 

@@ -73,7 +73,7 @@ def test_one_of_each_group_stays(steps):
 
 def test_repeated_passages_go(steps):
     before, after = steps[2], steps[3]
-    expected = Counter((i, " ".join(kept.split())) for i, _, _, kept in repeated([(r.doc_id, r.text) for r in before]))
+    expected = Counter((i, " ".join(words(kept))) for i, _, _, kept in repeated([(r.doc_id, r.text) for r in before]))
     assert Counter((r.doc_id, " ".join(words(r.text))) for r in after) == expected
     assert all(r.n_chars == len(r.text) for r in after if r.text is not None)
 
