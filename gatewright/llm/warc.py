@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-BUCKETS = 4096
+BUCKETS, MOST_TASKS = 4096, 100_000
 SHARD_BYTES, ROLL_BYTES, LEAST_REVISIT = 16 << 20, 64 << 20, 1000
 DATE = "2024-01-01T00:00:00Z"
 _MANIFEST = "file string, temporary string, records long, bytes long, sha256 string"
@@ -170,7 +170,9 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, *, id_col
     payload = F.when(F.col("refers_row").isNull(), F.col("payload"))
     joined = rows.join(small, "place", "left").withColumns({"shard": shard, "payload": payload})
     n = first[-1] + spread[-1]
-    dealt = joined.repartition(max(1, min(n, 4096)), "shard").sortWithinPartitions("shard", F.asc_nulls_first("id"), "url", "content", "place")
+    # a shard is a partition; by hash, some partitions would get several
+    parts = min(n, MOST_TASKS)
+    dealt = joined.repartitionById(parts, F.pmod("shard", F.lit(parts))).sortWithinPartitions("shard", F.asc_nulls_first("id"), "url", "content", "place")
     base = folder.rstrip("/")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +237,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     base = folder.rstrip("/")
     manifest = spark.read.schema(_MANIFEST).parquet(f"{base}/_manifest").select("file")
     # one file a task: a file is the unit of reading
-    files = manifest.repartition(max(1, min(manifest.count(), 4096)), "file")
+    files = manifest.repartition(max(1, min(manifest.count(), MOST_TASKS)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pyarrow.fs.FileSystem.from_uri(base)
