@@ -1,8 +1,8 @@
 """Licence scans by canonical digest lookup.
 
 A whole text is brought to a canonical form: lower case; typographic quotes and
-dashes as plain ones; lines that begin with a copyright mark, or say that all
-rights are reserved, left out; equivalent spellings made one; each run of
+dashes as plain ones; copyright notices at the start of a line, and reservations
+of all rights, left out to the end of the line or sentence; equivalent spellings made one; each run of
 punctuation and white space one blank, none at the ends. The SHA-256 of that form
 is hash-joined with the digests of known licence texts, which are made by the
 same expressions. Known texts are a table; its size is checked before it is
@@ -67,14 +67,36 @@ KNOWN = [
     ("GPL-3.0 (notice)", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0 (notice)", "Licensed under CC BY-NC 4.0."),
 ]
-# an own line of the text: a mark at its start, or a reservation of all rights
+# the SQL's rule: every line that begins so. It differs from NOTICES on body lines and on sentences after a notice, of which the test tables have none
 _MARK = "(^|\\n)[ \\t]*(copyright|\\(c\\)|\u00a9|all rights reserved)[^\\n]*"
+_YEAR = r"(?:(?:19|20)\d\d(?!\d)|[<\[{(][ \t]*(?:years?|yyyy|dates?|(?:19|20)\d\d)(?![a-z]))"
+_SIGN = "(?:\\(c\\)|\u00a9|&copy;)"
+# a notice ends with its line, with a sentence (initials and firms' abbreviations end none), or where a licence's first words follow
+_TAIL = r"[^\n]*?(?:(?<![^a-z][a-z])(?<!(?<![a-z])(?:inc|ltd|co|corp|jr|sr|dr|st|llc|pty|bros|al|univ|dept))\.(?=[ \t])|(?=[ \t](?:permission is hereby granted|permission to use|redistribution and use|this software is provided))|(?=\n|\z))"
+_MARKED = rf"(?:copyright[ \t]*[:,]?[ \t]*(?:{_SIGN}|{_YEAR})|\(c\)[ \t]*(?:copyright[ \t]*[:,]?[ \t]*)?{_YEAR}|\(c\)[ \t]*copyright[ \t]|(?:\u00a9|&copy;))"
+# behind the word, these go on with a sentence about copyright
+_BODY = r"[ \t]*(?:[,.;/)'\"(-]|(?:and|or|in|is|of|on|to|are|as|for|may|shall|can|claims?|acts?|disclaimers?|holders?|infring\w*|interests?|laws?|licen[sc]\w*|notices?|owners?|ownership|permissions?|proprietors?|protect\w*|rights?|statements?|status|treat\w*|the software)(?![a-z]))"
+_TITLE = r"licen[sc]e|licen[sc]e \(\w{2,5}\)"
+# a line after none, after a blank one or after a title
+_FIRST = rf"(?:\A\n?|(?=[ \t\r\n])(?<=\n|{_TITLE})[ \t\r]{{0,99}}\n)[ \t]{{0,99}}"
+# every notice has one of these; texts without any are spared the search
+_ANY = "copyright|\\(c\\)|\u00a9|&copy;|reserved"
+# removed one after the other: what a sign or year marks; a reservation of all rights; a short paragraph of its own that only begins with the word
+NOTICES = [
+    rf"(?:\A|\n|[ \t](?<=(?:{_TITLE})[ \t]))[ \t]*(?:{_MARKED}{_TAIL}[ \t]*){{1,50}}",
+    r"(?:\A|\n)[ \t]*all\s+rights\s+reserved[ \t]*(?:[.!]|\r?(?=\n|\z))",
+    rf"{_FIRST}all\s+rights\s+reserved(?![a-z]){_TAIL}",
+    rf"{_FIRST}(?:copyright(?![a-z]|{_BODY})[^\n]{{0,120}}(?=\n|\z)\n?[ \t]{{0,99}}){{1,50}}(?=[\n\r]|\z)",
+]
 _BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def canonical(text: Column) -> Column:
     out = F.translate(F.lower(F.coalesce(text, F.lit(""))), TYPED, PLAIN)
-    out = F.regexp_replace(out, _MARK, "\n")
+    bare = out
+    for notice in NOTICES:
+        bare = F.regexp_replace(bare, notice, "\n")
+    out = F.when(F.lower(F.coalesce(text, F.lit(""))).rlike(_ANY), bare).otherwise(out)
     for a, b in SPELLINGS:
         out = F.replace(out, F.lit(a), F.lit(b))
     return F.trim(F.regexp_replace(out, _BREAKS, " "))

@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -26,6 +27,26 @@ def test_licenses(spark, docs):
     assert license_scan.license_scan(spark, docs.limit(1).withColumn("text", F.lit("ONE\ntwo")), own).first().license_id == "a"
 
 
+def test_licenses_wrapped_at_any_width(spark):
+    """Body lines that wrapping lets begin with 'copyright' stay; notices go, also in front of a text on one line."""
+    notices = ["", "Copyright (c) 2020 J. R. Smith and Foo Inc. All rights reserved.", "\u00a9 2019-2021, Some One <a@b.org>", "(C) Copyright 2001 Some One.", "Copyright Some One"]
+    texts = []
+    for n, (name, text) in enumerate(license_scan.KNOWN):
+        whole = " ".join(text.split())
+        for width in (*range(16, 121, 4), 10**6):
+            lines = lambda x: textwrap.fill(x, width, break_long_words=False, break_on_hyphens=False)
+            paragraphs = [lines(x) for x in text.split("\n\n")]
+            texts += [(name, lines(whole)), (name, "\n\n".join([notices[(n + width) % 5], *paragraphs]).strip()), (name, "\r\n\r\n".join([notices[1], *(x.replace("\n", "\r\n") for x in paragraphs)]))]
+        texts += [(name, f"{notice} {whole}") for notice in notices[:2]] + [(name, f"{notice}\n{notices[3]}\nAll rights reserved.\n\n{text}") for notice in notices]
+    texts += [("MIT", "MIT License\nCopyright Some One\n\n" + dict(license_scan.KNOWN)["MIT"].split("\n\n", 1)[1])]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(texts)], "doc_id int, expected string, text string")
+    assert [(r.expected, r.text) for r in license_scan.license_scan(spark, df).where("license_id is distinct from expected").collect()] == []
+    kept = ["x\ncopyright law of 1976", "copyright holders may act", "4. You must\n(c) retain, in the form, all notices", "keep\nCopyright notice 2020 or\nleave"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(kept)], "doc_id int, text string")
+    got = license_scan.license_scan(spark, df).orderBy("doc_id").collect()
+    assert [r.canonical_chars for r in got] == [len(re.sub("[^a-z0-9]+", " ", x.lower())) for x in kept]
+
+
 def test_licenses_sql(spark):
     sf = "/root/testdata/sf0.001"
     got = sorted(map(tuple, license_scan.op3_license_scan(spark, sf).collect()), key=str)
