@@ -6,9 +6,10 @@ ones. A document's score is the mean over its n-grams of log(trusted / all), in
 nats; it is kept if it passes the base rules and its score is at least
 -(rate + sampling / sqrt(n-grams of the target) + allowance / its n-grams): few
 trusted documents give rougher weights, and the mean of a short text varies more.
-All of it is DataFrame functions; documents are never shuffled. Trusted documents
-are those labelled quality 1, at most TRUSTED of them, those least by a hash of the id; so
-their ids can be broadcast at any size. Bucket counts are partial aggregates of
+All of it is DataFrame functions. Trusted documents are all that are labelled
+quality 1. Up to BROADCAST_ROWS of their ids are broadcast; more are joined by a
+shuffle of ids and texts into a hash table of ids (documents without an id stay
+where they are). Scoring shuffles nothing. Bucket counts are partial aggregates of
 BUCKETS rows a task, and reach expressions as one array through a scalar subquery.
 
 Base rules, as columns: n_words; word_chars (code points in words); n_symbols
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 BUCKETS = 1 << 14
-TRUSTED = 20_000
+BROADCAST_ROWS = 10_000
 RATE, ALLOWANCE, SAMPLING = 0.03, 2.2, 15.0
 WINDOW = 8
 SPACE = " \t\n\x0b\x0c\r"
@@ -82,12 +83,18 @@ def grams(words: Column, buckets: int) -> Column:
     return F.concat(ones, F.filter(twos, lambda x: x.isNotNull()))
 
 
-def gram_weights(spark: SparkSession, scratch: Scratch, docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, buckets: int, most: int) -> tuple[Column, int]:
+def gram_weights(spark: SparkSession, scratch: Scratch, docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, buckets: int) -> tuple[Column, int]:
     """A scalar: the array of log(trusted share / share among all) by bucket, each count one higher than it is. And the number of n-grams of the target."""
-    ids = trusted.where(F.col(id_col).isNotNull()).select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(most)
+    ids = trusted.where(F.col(id_col).isNotNull()).select(id_col).distinct()
     ids = scratch.table(ids.withColumn("trusted", F.lit(1)), "trusted")
-    words = docs.select(id_col, words_of(F.col(text_col)).alias("words"))
-    marked = words.join(F.broadcast(ids), id_col, "left").select("trusted", F.explode(bind(F.col("words"), lambda w: grams(w, buckets))).alias("bucket"))
+    if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        flagged = docs.join(F.broadcast(ids), id_col, "left")
+    else:
+        # null ids match nothing and would all meet in one task
+        known = docs.where(F.col(id_col).isNotNull()).join(ids.hint("shuffle_hash"), id_col, "left")
+        flagged = known.unionByName(docs.where(F.col(id_col).isNull()).withColumn("trusted", F.lit(None).cast("int")))
+    words = flagged.select("trusted", words_of(F.col(text_col)).alias("words"))
+    marked = words.select("trusted", F.explode(bind(F.col("words"), lambda w: grams(w, buckets))).alias("bucket"))
     counts = scratch.table(marked.groupBy("bucket").agg(F.count("*").alias("n"), F.count("trusted").alias("t")), "counts")
     sums = counts.agg(F.sum("n").alias("n"), F.sum("t").alias("t")).first()
     n, t = sums["n"] or 0, sums["t"] or 0
@@ -106,7 +113,6 @@ def quality(
     id_col: str = "doc_id",
     text_col: str = "text",
     buckets: int = BUCKETS,
-    most_trusted: int = TRUSTED,
     rate: float = RATE,
     allowance: float = ALLOWANCE,
     sampling: float = SAMPLING,
@@ -116,7 +122,7 @@ def quality(
     """docs with the columns OUT. trusted: rows with the ids of documents to take as the target."""
     scratch = Scratch(spark, "quality")
     docs = docs.select(*[c for c in docs.columns if c not in OUT])
-    weights, target = gram_weights(spark, scratch, docs.select(id_col, text_col), trusted, id_col, text_col, buckets, most_trusted)
+    weights, target = gram_weights(spark, scratch, docs.select(id_col, text_col), trusted, id_col, text_col, buckets)
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(SPACE)) != "")
 

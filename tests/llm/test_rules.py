@@ -101,6 +101,28 @@ def test_quality_without_trust_or_rows(spark, docs, empty):
     assert quality_rules.quality(spark, empty, nobody).count() == 0
 
 
+def test_quality_counts_every_trusted_document(spark):
+    """More trusted ids than the former bound of 20,000, by shuffle; documents without an id and repeated ids are counted as they are."""
+    n = 25_000
+    docs = spark.range(n).select("id", F.concat_ws(" ", F.lit("alpha"), F.concat(F.lit("w"), F.col("id") % 50)).alias("text"))
+    docs = docs.unionByName(docs.where("id < 100")).unionByName(spark.range(70).select(F.lit(None).cast("long").alias("id"), F.lit("beta gamma").alias("text")))
+    trusted = spark.range(n - 1000).unionByName(spark.range(5))
+    scratch = quality_rules.Scratch(spark, "quality")
+    _, target = quality_rules.gram_weights(spark, scratch, docs, trusted, "id", "text", 64)
+    # three n-grams a text: two words and a pair
+    assert target == 3 * (n - 1000 + 100)
+    counts = spark.read.parquet(f"{scratch.root}/counts").agg(F.sum("n"), F.sum("t")).first()
+    assert tuple(counts) == (3 * (n + 170), target)
+
+
+def test_quality_by_shuffle_equals_broadcast(spark, docs, monkeypatch):
+    trusted = spark.createDataFrame([(i,) for i in [5, 7, 9, 403, 10**6, None]], "doc_id long")
+    result = lambda: Counter((r.doc_id, r.score, r.kept) for r in quality_rules.quality(spark, docs, trusted).collect())
+    few = result()
+    monkeypatch.setattr(quality_rules, "BROADCAST_ROWS", 1)
+    assert result() == few
+
+
 @pytest.fixture(scope="module")
 def labelled():
     rng = random.Random(2)
