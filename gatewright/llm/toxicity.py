@@ -1,20 +1,25 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, on toxic and on ordinary text. A text is
-cut into windows of 16 words; each is compressed with either, and a window counts
-by the bytes that the toxic dictionary saves beyond the ordinary one. The sum,
-less what ordinary windows give and over its deviation, is the text's z; the
-threshold on z is calibrated on labelled texts that trained no dictionary, and
-the score is a logistic curve with 0.7 there.
-
-So that two dictionaries differ by class and not by chance, both end with the
-same base, trained on ordinary windows; before it stands the part trained on one
-class. Toxic samples are cut down to the words whose stems are more frequent in
-toxic than in ordinary texts: labels are of texts, and most words of a toxic text are ordinary.
+Zstandard dictionaries are trained in pairs, one on toxic and one on ordinary text. A
+text is cut into windows of four words; each is compressed with either, and a window
+counts by the bytes that the toxic dictionary saves beyond the ordinary one, in the
+mean over PAIRS pairs. The sum, less what ordinary windows give and over its deviation,
+is the text's z; the threshold on z is calibrated on labelled texts that trained no
+dictionary, and the score is a logistic curve with 0.7 there.
+
+Labels are of texts, and most of a toxic text is ordinary. Compression itself tells
+them apart, before the pairs are made: each of `bags` tasks trains two dictionaries
+on random halves of the toxic and as many ordinary texts, all their windows, here of
+two words, and compresses the windows of texts it did not see. What one bag saves by
+chance another does not; a window's distance is the mean over the bags. Windows of
+toxic texts whose distance only one ordinary window in a thousand reaches train the
+toxic dictionaries, ordinary windows but for the nearest 2 % the others, and all end
+with the same base, trained on those as well. Of CANDIDATES such pairs the PAIRS that
+tell calibration texts apart best are kept. No word list, and no statistic of words, is used.
 
 Bounds of the labelled sample, the only data that is sampled: MOST_TOXIC and
-MOST_ORDINARY texts, least by a hash of their id, and SAMPLE_CHARS characters of
-each; the driver holds no more. Of near copies in it (by one MinHash value) one
+MOST_ORDINARY texts, least by a hash of their id, each text whole; the driver and
+the tasks of the fit hold no more. Of near copies in it (by one MinHash value) one
 is used. Scoring covers every whole text and is a map without a shuffle.
 
 Defined results: null or blank text has no windows and scores 0; rows whose id is null count as not held out, and teach nothing; of
@@ -26,8 +31,7 @@ held_out, score or predicted give way to the result's.
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +43,15 @@ from pyspark.sql import types as T
 from . import hashing
 from .scratch import let_workers_import
 
-MOST_TOXIC, MOST_ORDINARY, SAMPLE_CHARS = 2500, 5000, 20_000
-BASE_BYTES, CLASS_BYTES, FILL_BYTES, LEVEL = 96 << 10, 2 << 10, 64, 6
+MOST_TOXIC, MOST_ORDINARY = 1500, 4500
+BAGS, BAG_BYTES = 18, (1 << 10, 4 << 10, 16 << 10)
+CANDIDATES, PAIRS, CLASS_BYTES, BASE_BYTES, FILL_BYTES, LEVEL = 8, 3, 2 << 10, 128 << 10, 64, 3
+#: Share of ordinary windows that a toxic training window exceeds, and of those that train the ordinary dictionary and the base.
+NEARER, PLAIN = 0.999, 0.98
 THRESHOLD = 0.7
 OUT = ("held_out", "score", "predicted")
-_WINDOW = re.compile(rb"(?: [^ ]+){1,16}")
+FIT_WORDS, WORDS = 2, 4
+_WINDOW = {n: re.compile(rb"(?: [^ ]+){1,%d}" % n) for n in (FIT_WORDS, WORDS)}
 _OTHER = re.compile(r"[\W_]+")
 
 
@@ -52,109 +60,144 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string")) % 3 == 1, F.lit(False))
 
 
-def text_windows(text: str | None) -> list[bytes]:
-    """Windows of a text: its words in lower case, each after a blank, sixteen at a time."""
+def text_windows(text: str | None, words: int = WORDS) -> list[bytes]:
+    """Windows of a text: its words in lower case, each after a blank, so many at a time, with a blank behind."""
     plain = _OTHER.sub(" ", (text or "").lower()).strip()
-    return _WINDOW.findall(b" " + plain.encode()) if plain else []
+    return [w + b" " for w in _WINDOW[words].findall(b" " + plain.encode())] if plain else []
 
 
-def _train(size: int, samples: list[bytes], k: int, d: int) -> bytes:
-    """Content of a trained dictionary; of too few samples, their end."""
+def train(size: int, samples: list[bytes], k: int = 16, d: int = 6) -> bytes:
+    """Content of a trained dictionary, `size` bytes; of too few samples, their end."""
     try:
-        return zstandard.train_dictionary(size, samples, k=k, d=d).as_bytes()
+        content = zstandard.train_dictionary(size, samples, k=k, d=d).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(samples)[-size:] or b" "
+        content = b"".join(samples)[-size:]
+    return content.rjust(size)
+
+
+def distance(toxic: bytes, ordinary: bytes) -> Callable[[list[bytes]], list[int]]:
+    """The function from windows to the bytes that the toxic dictionary saves in each beyond the ordinary one."""
+    packs = []
+    for content in (toxic, ordinary):
+        use = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        packs.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=use, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
+    # with the end of either dictionary behind it, no window is stored as it is because little of it is matched
+    ends = toxic[-FILL_BYTES:], ordinary[-FILL_BYTES:]
+    return lambda windows: [len(packs[1](w + ends[1])) - len(packs[0](w + ends[0])) for w in windows]
+
+
+def saver(pairs: list[tuple[bytes, bytes]]) -> Callable[[list[bytes]], list[float]]:
+    """Distances of windows, 0 at least, in the mean over pairs of a toxic and an ordinary dictionary."""
+    found = [distance(*pair) for pair in pairs]
+    return lambda windows: [sum(v for v in x if v > 0) / len(x) for x in zip(*(f(windows) for f in found), strict=True)]
+
+
+def apart(texts: list[str]) -> list[str]:
+    """One text of each group of near copies, by the least hash of their word 5-grams; no blank ones."""
+    seen, out = set(), []
+    for at in range(0, len(texts), 256):
+        part = texts[at : at + 256]
+        w = hashing.words_of(pa.array(part))
+        grams = hashing.windows(w.hash, 5, 11)
+        for text, a, b in zip(part, w.first[:-1], w.first[1:], strict=True):
+            key = int((grams[a : b - 4] if b - a >= 5 else w.hash[a:b]).min()) if b > a else 0
+            if key not in seen and text_windows(text):
+                seen.add(key)
+                out.append(text)
+    return out
+
+
+def _joined(docs: list[list[bytes]], which: np.ndarray) -> list[bytes]:
+    return [w for doc, use in zip(docs, which, strict=True) if use for w in doc]
+
+
+def _halves(bag: int, toxic: int, ordinary: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which texts train the pair of a bag."""
+    rng = np.random.default_rng(bag)
+    return rng.random(toxic) < 0.5, rng.random(ordinary) < 0.5 * min(1.0, toxic / max(1, ordinary))
+
+
+def bag_distances(bag: int, toxic: list[list[bytes]], ordinary: list[list[bytes]], measured: int) -> list[bytes]:
+    """Distances of the windows of toxic texts, and of the first `measured` ordinary ones, that do not train this bag's pair; a signed byte each."""
+    bad, good = _halves(bag, len(toxic), len(ordinary))
+    size = BAG_BYTES[bag % len(BAG_BYTES)]
+    found = distance(*(train(size, _joined(docs, use) or [b" "]) for docs, use in ((toxic, bad), (ordinary, good))))
+    unseen = _joined(toxic, ~bad), _joined(ordinary[:measured], ~good[:measured])
+    return [np.clip(found(w), -127, 127).astype(np.int8).tobytes() for w in unseen]
+
+
+def mean_distances(bags: list[list[bytes]], toxic: list[list[bytes]], ordinary: list[list[bytes]], measured: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean distance of each window over the bags that did not see its text; -inf where all did."""
+    docs = toxic, ordinary[:measured]
+    sizes = [np.array([len(d) for d in x], np.int64) for x in docs]
+    total, n = [np.zeros(s.sum()) for s in sizes], [np.zeros(s.sum()) for s in sizes]
+    for bag, blobs in enumerate(bags):
+        halves = _halves(bag, len(toxic), len(ordinary))
+        for i, blob in enumerate(blobs):
+            unseen = np.repeat(~halves[i][: len(docs[i])], sizes[i])
+            total[i][unseen] += np.frombuffer(blob, np.int8)
+            n[i][unseen] += 1
+    return tuple(np.where(k > 0, t / np.maximum(k, 1), -np.inf) for t, k in zip(total, n, strict=True))
 
 
 class Model:
-    """Bytes and numbers only, so it travels to workers in a closure."""
+    """Bytes and numbers only, so it travels to workers in a closure. each: runs a function from a number to bytes for 0 .. n - 1, in tasks."""
 
-    def __init__(self, toxic: list[str], ordinary: list[str]):
-        toxic, ordinary = (self._apart([t for t in texts if text_windows(t)]) for texts in (toxic, ordinary))
-        self.empty = not toxic or not ordinary
+    def __init__(self, toxic: list[str], ordinary: list[str], each: Callable[[Callable[[int], list[bytes]], int], list[list[bytes]]], bags: int = BAGS):
+        toxic, ordinary = apart(toxic), apart(ordinary)
+        self.empty, self.pairs = not toxic or not ordinary, []
         if self.empty:
             return
         # a quarter of each class calibrates
-        split = [([t for i, t in enumerate(x) if i % 4 or len(x) < 4], [t for i, t in enumerate(x) if i % 4 == 0]) for x in (toxic, ordinary)]
-        (bad, bad_held), (good, good_held) = [[[text_windows(t) for t in part] for part in pair] for pair in split]
-        stems = self._stems(bad, good)
-        picked = [p for p in (b"".join(b" " + w for x in doc for w in x.split() if any(w[:k] in stems for k in range(4, len(w) + 1))) for doc in bad) if p]
-        picked = [w for p in picked for w in _WINDOW.findall(p)] or [w for doc in bad for w in doc]
-        plain = [w for doc in good for w in doc]
-        plain = plain[:: max(1, len(plain) // 40_000)]
-        base = _train(BASE_BYTES, plain, 64, 8)
-        # ordinary words with such a stem inside, so that what they share is saved by either
-        stem = re.compile(b"|".join(map(re.escape, sorted(stems, key=len))) or b"$^")
-        alike = b"".join(b" " + w for window in plain for w in window.split() if stem.search(w))
-        alike = _WINDOW.findall(alike)
-        parts = _train(CLASS_BYTES, picked, 16, 6), _train(CLASS_BYTES, alike + plain[:: max(1, len(plain) // (len(alike) + 1000))], 16, 6)
-        # the class part is of one length, so the base is as far from either; being far, it pays for long matches only
-        self.toxic, self.ordinary = (part.rjust(CLASS_BYTES) + base for part in parts)
-        saved = self.saver()
-        ordinary_windows = np.array([v for doc in good_held for v in saved(doc)] or [0.0])
-        self.mean, self.variance = float(ordinary_windows.mean()), float(ordinary_windows.var() + 0.25)
-        z = np.array([self._z(saved(doc)) for doc in bad_held + good_held])
-        is_bad = np.arange(len(z)) < len(bad_held)
-        order = np.argsort(-z, kind="stable")
-        hits = np.cumsum(is_bad[order])
-        f1 = 2 * hits / (np.arange(len(z)) + 1 + is_bad.sum())
-        at = int(np.argmax(f1))
-        below = z[order[at + 1]] if at + 1 < len(z) else z[order[at]] - 1
-        self.cut = float((z[order[at]] + below) / 2)
-        self.slope = 2.0 / max(1.0, float(np.median(z[is_bad])) - self.cut)
-
-    @staticmethod
-    def _apart(texts: list[str]) -> list[str]:
-        """One of each group of near copies, by the least hash of their word 5-grams."""
-        seen, out = set(), []
-        for at in range(0, len(texts), 256):
-            part = texts[at : at + 256]
-            w = hashing.words_of(pa.array(part))
-            grams = hashing.windows(w.hash, 5, 11)
-            for text, a, b in zip(part, w.first[:-1], w.first[1:], strict=True):
-                key = int((grams[a : b - 4] if b - a >= 5 else w.hash[a:b]).min()) if b > a else 0
-                if key not in seen:
-                    seen.add(key)
-                    out.append(text)
-        return out
-
-    @staticmethod
-    def _stems(bad: list[list[bytes]], good: list[list[bytes]]) -> set[bytes]:
-        """Beginnings of words, of 4 bytes or more, with 2.5 times the rate in toxic texts and 5 deviations from an equal rate; a text counts one at most five times."""
-        counts, words = (Counter(), Counter()), [0, 0]
-        for which, docs in enumerate((bad, good)):
-            for doc in docs:
-                own: Counter = Counter()
-                for window in doc:
-                    for w in window.split():
-                        words[which] += 1
-                        for k in range(4, min(len(w), 12) + 1):
-                            own[w[:k]] += 1
-                for stem, n in own.items():
-                    counts[which][stem] += min(n, 5)
-        share = words[0] / max(1, words[1])
-        expected = {s: (counts[1][s] + 0.5) * share for s in counts[0]}
-        return {s for s, n in counts[0].items() if n > 2.5 * expected[s] and n - expected[s] > 5 * (n + expected[s] + 1) ** 0.5}
-
-    def saver(self):
-        """The function from windows to the bytes that the toxic dictionary saves in each, 0 at least."""
-        packs = []
-        for content in (self.toxic, self.ordinary):
-            use = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            packs.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=use, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
-        toxic, ordinary = packs
-        # both dictionaries end with the same bytes; with them behind it, no window is stored as it is because little of it is matched
-        end = self.toxic[-FILL_BYTES:]
-        return lambda windows: [max(0, len(ordinary(w + end)) - len(toxic(w + end))) for w in windows]
-
-    def _z(self, saved: list[int]) -> float:
+        (bad, bad_held), (good, good_held) = (([t for i, t in enumerate(x) if i % 4 or len(x) < 4], [t for i, t in enumerate(x) if i % 4 == 0]) for x in (toxic, ordinary))
+        bad, good = ([text_windows(t, FIT_WORDS) for t in x] for x in (bad, good))
+        bad_held, good_held = ([text_windows(t) for t in x] for x in (bad_held, good_held))
+        measured = min(len(good), 2 * len(bad))
+        far, near = mean_distances(each(lambda bag: bag_distances(bag, bad, good, measured), bags), bad, good, measured)
+        windows, plain = [w for d in bad for w in d], [w for d in good[:measured] for w in d]
+        picked = [windows[i] for i in np.flatnonzero(far > np.quantile(near, NEARER))] or windows
+        plain = [plain[i] for i in np.flatnonzero(near <= np.quantile(near, PLAIN))] or plain
+        base, candidates = train(BASE_BYTES, plain, 64, 8), []
+        for candidate in range(CANDIDATES):
+            rng = np.random.default_rng(candidate)
+            # each but the first without another fifth of the picked windows
+            some = [picked[i] for i in rng.permutation(len(picked))[: max(1, len(picked) * 4 // 5)]] if candidate else picked
+            alike = [plain[i] for i in rng.permutation(len(plain))[: max(len(some), 500)]]
+            # the parts of the classes are of one length, so the base is as far from either
+            candidates.append(tuple(train(CLASS_BYTES, x) + base for x in (some, alike)))
+
+        def sums(candidate: int) -> list[bytes]:
+            saved = saver([candidates[candidate]])
+            return [np.array([(sum(x := saved(d)), sum(v * v for v in x), len(d)) for d in docs]).tobytes() for docs in (bad_held, good_held)]
+
+        def calibrate(found: list[np.ndarray]) -> float:
+            """Sets mean, variance, cut and slope by the sums over calibration texts, toxic and ordinary; returns the F1 there."""
+            total, squares, n = found[1].sum(axis=0)
+            self.mean, self.variance = float(total / n), float(squares / n - (total / n) ** 2 + 0.05)
+            z = np.concatenate([(x[:, 0] - self.mean * x[:, 2]) / (self.variance * (x[:, 2] + 1)) ** 0.5 for x in found])
+            is_bad = np.arange(len(z)) < len(found[0])
+            order = np.argsort(-z, kind="stable")
+            f1 = 2 * np.cumsum(is_bad[order]) / (np.arange(len(z)) + 1 + is_bad.sum())
+            at = int(np.argmax(f1))
+            below = z[order[at + 1]] if at + 1 < len(z) else z[order[at]] - 1
+            self.cut = float((z[order[at]] + below) / 2)
+            self.slope = 2.0 / max(1.0, float(np.median(z[is_bad])) - self.cut)
+            return float(f1[at])
+
+        found = [[np.frombuffer(b).reshape(-1, 3) for b in x] for x in each(sums, CANDIDATES)]
+        best = sorted(range(CANDIDATES), key=lambda i: -calibrate(found[i]))[:PAIRS]
+        self.pairs = [candidates[i] for i in best]
+        saved = saver(self.pairs)
+        calibrate([np.array([(sum(x := saved(d)), sum(v * v for v in x), len(d)) for d in docs]) for docs in (bad_held, good_held)])
+
+    def _z(self, saved: list[float]) -> float:
         n = len(saved)
         return (sum(saved) - self.mean * n) / (self.variance * (n + 1)) ** 0.5
 
-    def scorer(self):
+    def scorer(self) -> Callable[[str | None], float]:
         if self.empty:
             return lambda text: 0.0
-        saved, top = self.saver(), np.log(THRESHOLD / (1 - THRESHOLD))
+        saved, top = saver(self.pairs), np.log(THRESHOLD / (1 - THRESHOLD))
 
         def score(text: str | None) -> float:
             windows = text_windows(text)
@@ -166,22 +209,31 @@ class Model:
         return score
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bags: int = BAGS) -> Model:
     """A model from the labelled rows that are not held out."""
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
     usable = usable.groupBy(id_col).agg((F.max(label_col) > 0).alias("_toxic"))
     ids = [usable.where(F.col("_toxic") == which).orderBy(F.xxhash64(id_col), id_col).limit(most) for which, most in ((True, MOST_TOXIC), (False, MOST_ORDINARY))]
-    sample = docs.select(id_col, F.substring(text_col, 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(ids[0].unionByName(ids[1])), id_col)
+    sample = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(ids[0].unionByName(ids[1])), id_col)
     # repeated ids in docs cannot widen the sample
     rows = sample.orderBy(F.xxhash64(id_col), id_col, "text").limit(MOST_TOXIC + MOST_ORDINARY).collect()
-    return Model([r["text"] for r in rows if r["_toxic"]], [r["text"] for r in rows if not r["_toxic"]])
+
+    def each(use: Callable[[int], list[bytes]], n: int) -> list[list[bytes]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in batch["id"].to_pylist():
+                    yield pa.RecordBatch.from_pydict({"i": [i], "found": pa.array([use(i)], pa.list_(pa.binary()))})
+
+        return [r["found"] for r in sorted(spark.range(0, n, 1, n).mapInArrow(run, "i long, found array<binary>").collect())]
+
+    return Model([r["text"] for r in rows if r["_toxic"]], [r["text"] for r in rows if not r["_toxic"]], each, bags)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """docs with held_out, score (0 to 1) and predicted (1 where score >= 0.7)."""
     let_workers_import(spark)
     docs = docs.select(*[c for c in docs.columns if c not in OUT])
-    model, text_at = learn(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col), docs.columns.index(text_col)
+    model, text_at = learn(spark, docs, labels, id_col=id_col, text_col=text_col, label_col=label_col), docs.columns.index(text_col)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
