@@ -229,7 +229,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
     best = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_nd_row").alias("row"))).alias("best")
     classes = signed.where("_nd_n > 0").groupBy("_nd_d1", "_nd_d2").agg(best, F.count("*").alias("copies"), F.first("_nd_bands").alias("bands"), F.first("_nd_sig").alias("sig"))
     classes = scratch.table(classes.select("_nd_d1", "_nd_d2", "best", "copies", F.col("best.row").alias("row"), "bands", "sig"), "classes")
-    scratch.sweep()
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,7 +239,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
     buckets = scratch.table(banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     rows = int(buckets.agg(F.sum("size")).first()[0] or 0)
     members = scratch.table(banded.join(buckets, "band"), "members")
-    scratch.sweep()
     edges = scratch.table(_in_blocks(members.join(classes.select("row", "sig"), "row"), "band", "size", BUCKET_BLOCK, max(16, rows // 50_000)).applyInArrow(_bucket_edges(threshold, tolerance), "a long, b long"), "edges")
     scratch.drop("members", "buckets")
     groups = components(scratch, edges, "groups")
@@ -250,7 +248,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
     texts = signed.select("_nd_row", F.col(text_col).alias("text"), F.col("_nd_sig").alias("sig")).join(F.broadcast(grouped) if count <= BROADCAST_ROWS else grouped, "_nd_row").withColumnRenamed("_nd_row", "row")
     links = scratch.table(_in_blocks(texts, "group", "size", GROUP_BLOCK, max(16, count // 400)).applyInArrow(_verified(threshold, tolerance, n), "row long, links long, root long"), "links")
     scratch.drop("sizes", "grouped", "groups", "edges")
-    scratch.sweep()
     if (most or 0) > GROUP_BLOCK:
         roots = components(scratch, links.select(F.col("row").alias("a"), F.col("root").alias("b")), "roots")
     else:

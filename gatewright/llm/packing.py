@@ -120,7 +120,6 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, *, end_id: int, i
 
     stored = T.StructType([T.StructField(id_col, kind), *[T.StructField(k, T.LongType()) for k in ("task", "row", "n", "full", "bin", "place")], T.StructField("ids", T.BinaryType())])
     table = scratch.table(docs.select(id_col, text_col).mapInArrow(tokenize, stored), "tokens")
-    scratch.sweep()
 
     # what comes before each task: of tails in each bin, and of whole windows
     sums = scratch.table(table.groupBy("task", "bin").agg(F.count("*").alias("tails"), F.sum(F.expr(f"n div {window}")).alias("full")), "sums")

@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own where it is unset, as in local tests."""
+    """The folder in spark.checkpoint.dir. Where that is unset, one of our own, but only in local mode: on a cluster no folder of this machine is shared."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file://{tempfile.gettempdir()}/checkpoints/gatewright"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    if at:
+        return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"file://{tempfile.gettempdir()}/checkpoints/gatewright"
 
 
 def let_workers_import(spark: SparkSession) -> None:
@@ -29,25 +35,22 @@ def let_workers_import(spark: SparkSession) -> None:
             sc.environment["PYTHONPATH"] = ":".join([root, *paths])
 
 
-_OPEN: list["Scratch"] = []
-
+_TRACKED: contextvars.ContextVar[list["Scratch"] | None] = contextvars.ContextVar("tracked", default=None)
 
-def opened(since: int = 0) -> list["Scratch"]:
-    """All scratch folders of this process that are in use, from the given number on."""
-    return _OPEN[since:]
 
-
-def release(scratches: list["Scratch"], kept: DataFrame) -> None:
-    """Delete the tables of calls whose results have been written elsewhere, but those that `kept` still reads."""
-    files = kept.inputFiles() if scratches else []
-    for scratch in scratches:
-        if scratch in _OPEN and not any(scratch.root.split(":", 1)[-1].lstrip("/") in f for f in files):
-            scratch.drop_all()
-            _OPEN.remove(scratch)
+@contextlib.contextmanager
+def tracked() -> Iterator[list["Scratch"]]:
+    """Collects the scratch folders of all operator calls within; the caller may drop them once their results are written."""
+    held: list[Scratch] = []
+    token = _TRACKED.set(held)
+    try:
+        yield held
+    finally:
+        _TRACKED.reset(token)
 
 
 class Scratch:
-    """Tables of one operator call. Each is written once and read back, which cuts lineage and survives lost executors. They go when the session ends, or by release()."""
+    """Tables of one operator call. Each is written once and read back, which cuts lineage and survives lost executors. They go when the session ends, or by drop_all()."""
 
     def __init__(self, spark: SparkSession, what: str):
         let_workers_import(spark)
@@ -57,12 +60,21 @@ class Scratch:
         self._path = jvm.org.apache.hadoop.fs.Path(self.root)
         self._fs = self._path.getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.deleteOnExit(self._path)
-        _OPEN.append(self)
+        if (held := _TRACKED.get()) is not None:
+            held.append(self)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and return a reader of the written table."""
+        """Write df and return a reader of the written table. Spark drops the shuffle files of this one execution at its end."""
         at = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(at)
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(at)
+        finally:
+            if before is None:
+                self.spark.conf.unset(_CLEANUP)
+            else:
+                self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, *names: str) -> None:
@@ -75,10 +87,3 @@ class Scratch:
         """Delete every table, once nothing that was returned is read any more."""
         with contextlib.suppress(Exception):
             self._fs.delete(self._path, True)
-
-    def sweep(self) -> None:
-        """Let Spark's cleaner drop shuffle files of frames that are no longer referenced."""
-        import gc
-
-        gc.collect()
-        self.spark._jvm.System.gc()

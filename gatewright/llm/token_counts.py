@@ -65,7 +65,6 @@ def token_counts(
     if not known.isEmpty():
         distinct = distinct.join(known, "content", "left_anti")
     distinct.mapInArrow(count, "content binary, n_tokens long").write.mode("append").parquet(f"{cache}/tokenizer={version}")
-    scratch.sweep()
     # one row a digest even if two writers appended the same text at once
     counts = scratch.table(_cached(spark, cache, version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     keyed = docs.withColumns({"n_bytes": F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long"), "_content": digest})
