@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
 Zstandard dictionaries are trained in pairs, one on toxic and one on ordinary text. A
-text is cut into windows of four words; each is compressed with either, and a window
+text is cut into windows of six words; each is compressed with either, and a window
 counts by the bytes that the toxic dictionary saves beyond the ordinary one, in the
 mean over PAIRS pairs. The sum, less what ordinary windows give and over its deviation,
 is the text's z; the threshold on z is calibrated on labelled texts that trained no
@@ -45,12 +45,12 @@ from .scratch import let_workers_import
 
 MOST_TOXIC, MOST_ORDINARY = 1500, 4500
 BAGS, BAG_BYTES = 18, (1 << 10, 4 << 10, 16 << 10)
-CANDIDATES, PAIRS, CLASS_BYTES, BASE_BYTES, FILL_BYTES, LEVEL = 8, 3, 2 << 10, 128 << 10, 64, 3
+CANDIDATES, PAIRS, CLASS_BYTES, BASE_BYTES, FILL_BYTES, LEVEL = 8, 2, 2 << 10, 128 << 10, 64, 3
 #: Share of ordinary windows that a toxic training window exceeds, and of those that train the ordinary dictionary and the base.
 NEARER, PLAIN = 0.999, 0.98
 THRESHOLD = 0.7
 OUT = ("held_out", "score", "predicted")
-FIT_WORDS, WORDS = 2, 4
+FIT_WORDS, WORDS = 2, 6
 _WINDOW = {n: re.compile(rb"(?: [^ ]+){1,%d}" % n) for n in (FIT_WORDS, WORDS)}
 _OTHER = re.compile(r"[\W_]+")
 
