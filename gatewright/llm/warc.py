@@ -1,12 +1,17 @@
 """WARC archives: a deterministic sharded writer, and a reader.
 
-Writing. Records are range-partitioned by id: ids are counted in BUCKETS equal
-ranges, and neighbouring ranges are joined into shards of about `shard_bytes` of
-payload; a range above that, as of one hot id, is divided by content hash. A task
-takes a shard's records in order and writes one gzip member each; a new file
-begins once one holds `roll_bytes` compressed. Headers, record ids and digests are
-made anew from content, without clock or chance, so equal input gives equal bytes.
-Payloads of `least_revisit` bytes or more that recur are written once, by the largest id, and elsewhere as revisits.
+Writing. Records are range-sorted by (id, content, URL). The bounds of shards of
+about `shard_bytes` of payload are quantiles of a sample that a hash of the record
+picks, so neither partitioning nor chance moves them; an id that many records share
+is divided between shards by content. Rows alike in all are one row with a number of
+copies, in pieces of COPIES, so they are divided as well. A task takes a shard's
+records in order and writes one gzip member each; a new file begins once one holds
+`roll_bytes` compressed. Headers, record ids and digests are made anew from content,
+without clock or chance, so equal input gives equal bytes. Payloads of `least_revisit`
+bytes or more that recur are written once, by the largest id, and elsewhere as revisits.
+
+There are MOST_SHARDS shards at most; above that they grow, and roll into more files.
+Only the sample comes to the driver: SAMPLED records a shard, without payload.
 
 Commit. A task writes files under temporary names that no other attempt uses, and
 returns a manifest row for each. Only when the manifest is a written table are its
@@ -19,12 +24,14 @@ row a record. Files are reached with pyarrow's file systems, in any folder that
 Defined results: a null payload is empty; a null id is less than others, and its
 record has no id header; of rows with the same payload and the same largest id one
 is the response and the others revisit it; a null URL becomes urn:page:<id>; an
-empty table gives no files and an empty result.
+empty table gives no files and an empty result. Ids are 64-bit integers of any
+span; columns but the id, the URL and the payload are not written, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import gzip
 import hashlib
 import uuid
@@ -32,7 +39,6 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
@@ -41,8 +47,10 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-BUCKETS, MOST_TASKS = 4096, 100_000
-SHARD_BYTES, ROLL_BYTES, LEAST_REVISIT = 16 << 20, 64 << 20, 1000
+MOST_SHARDS, SAMPLED, COPIES, MOST_TASKS = 20_000, 16, 1000, 100_000
+SHARD_BYTES, LEAST_REVISIT = 8 << 20, 1000
+#: A file holds an eighth of a shard's mean payload, compressed, within these bounds.
+ROLL_BYTES = (1 << 20, 1 << 30)
 DATE = "2024-01-01T00:00:00Z"
 _MANIFEST = "file string, temporary string, records long, bytes long, sha256 string"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL name space of RFC 4122
@@ -56,16 +64,15 @@ def _head(lines: list[tuple[str, object]]) -> bytes:
     return b"WARC/1.1\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in lines if v is not None) + b"\r\n"
 
 
-def record(row: dict, ordinal: int) -> bytes:
-    """One gzip member: a response with its payload, or a revisit without."""
-    revisit, size = row["refers_row"] is not None, row["payload_bytes"]
+def record(row: dict, copy: int) -> bytes:
+    """One gzip member: a response with its payload, or a revisit without. copy: which of the rows alike it is."""
+    revisit, size = row["refers_url"] is not None and not (row["holder"] and copy == 0), row["payload_bytes"]
     payload = b"" if revisit else row["payload"].encode()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block, uri = http + payload, row["url"]
     uri = quote(uri, safe="%/:=&?~#+!$,;'@()*[]") if uri else f"urn:page:{'' if row['id'] is None else row['id']}"
     name = lambda *parts: f"<urn:uuid:{uuid.uuid5(_NAMESPACE, '/'.join(map(str, parts)))}>"
-    # rows alike in id, URL and payload lie together and are numbered
-    own = [row["id"], row["url"], row["content"], *([row["shard"], ordinal] if ordinal else [])]
+    own = [row["id"], row["url"], row["content"], *([copy] if copy else [])]
     digest = "sha1:" + base64.b32encode(bytes.fromhex(row["payload_sha1"])).decode()
     head = _head(
         [
@@ -76,7 +83,7 @@ def record(row: dict, ordinal: int) -> bytes:
             ("WARC-Payload-Digest", digest),
             ("WARC-Block-Digest", _digest(block)),
             ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if revisit else None),
-            ("WARC-Refers-To", name(row["refers_to"], row["refers_url"], row["content"]) if revisit else None),
+            ("WARC-Refers-To", name(row["refers_to"], row["refers_url"][0], row["content"]) if revisit else None),
             ("X-Page-Id", row["id"]),
             ("X-Refers-To-Page-Id", row["refers_to"] if revisit else None),
             ("X-Payload-Length", size),
@@ -124,55 +131,63 @@ def parse(member: bytes) -> dict:
     }
 
 
-def _shards(rows: DataFrame, shard_bytes: int) -> tuple[int, int, list[int], list[int]]:
-    """Least id, width of a range, first shard of each range (null ids are range 0), and over how many shards it is spread."""
-    low, high = rows.agg(F.min("id"), F.max("id")).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // BUCKETS))
-    counts = np.zeros(BUCKETS + 1, np.int64)
-    for r in rows.groupBy(_bucket(low, width).alias("bucket")).agg(F.sum(F.col("payload_bytes") + 512).alias("bytes")).collect():
-        counts[r["bucket"]] = r["bytes"]
-    first, spread, at, held = [], [], 0, 0
-    for n in counts.tolist():
-        parts = max(1, -(-n // shard_bytes))
-        if held and (parts > 1 or held + n > shard_bytes):
-            at, held = at + 1, 0
-        first.append(at)
-        spread.append(parts)
-        if parts > 1:
-            at += parts
-        else:
-            held += n
-    return low or 0, width, first, spread
-
-
-def _bucket(low: int | None, width: int):
-    return F.coalesce(F.floor((F.col("id") - F.lit(low or 0)) / F.lit(width)).cast("int") + 1, F.lit(0))
-
-
-def write_archives(spark: SparkSession, pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_revisit: int = LEAST_REVISIT, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
+def _key(id_: int | None, content: str, url: str | None, piece: int) -> tuple:
+    return id_ is not None, id_ or 0, content, url or "", piece
+
+
+def shard_bounds(rows: DataFrame, shard_bytes: int) -> tuple[list[tuple], int]:
+    """The least keys of all shards but the first, and the mean bytes of a shard. rows: id, content, url, piece, copies, payload_bytes."""
+    bytes_ = (F.col("payload_bytes") + 512) * F.least(F.lit(COPIES), F.col("copies") - F.col("piece") * COPIES)
+    n, total = rows.agg(F.count("*"), F.sum(bytes_)).first()
+    shards = min(MOST_SHARDS, max(1, -(-(total or 0) // shard_bytes)))
+    every = max(1, n // (SAMPLED * shards))
+    sample = rows.where(F.pmod(F.xxhash64("id", "content", "url", "piece"), F.lit(every)) == 0).select("id", "content", "url", "piece", bytes_.alias("bytes")).collect()
+    sample = sorted((_key(r["id"], r["content"], r["url"], r["piece"]), r["bytes"]) for r in sample)
+    weight, at, bounds = sum(x for _, x in sample), 0, []
+    for key, size in sample:
+        if at * shards >= weight * (len(bounds) + 1) and key > (bounds[-1] if bounds else ()):
+            bounds.append(key)
+        at += size
+    return bounds, (total or 0) // shards
+
+
+def write_archives(spark: SparkSession, pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_revisit: int = LEAST_REVISIT, shard_bytes: int = SHARD_BYTES, roll_bytes: int | None = None) -> DataFrame:
     """Archives in `folder`; returns their manifest (file, records, bytes, sha256)."""
     scratch = Scratch(spark, "warc")
     text = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), text.alias("payload"), F.octet_length(text).cast("long").alias("payload_bytes"), F.sha1(text.cast("binary")).alias("payload_sha1"), F.sha2(text, 256).alias("content"))
-    # tells apart rows that are alike in all; what is written follows from content alone
+    # names a row for joins; what is written follows from content alone
     rows = scratch.table(rows.withColumn("place", F.monotonically_increasing_id()), "rows")
+    narrow = rows.select("id", "url", "content", "place", "payload_bytes")
     # one row for each payload that recurs, with the row that holds it
     best = F.max(F.struct(F.col("id").isNotNull().alias("has"), F.col("id").alias("id"), F.coalesce("url", F.lit("")).alias("by"), F.col("url").alias("url"), (-F.col("place")).alias("place"))).alias("best")
     held = rows.where(F.col("payload_bytes") >= least_revisit).groupBy("content").agg(best, F.count("*").alias("n")).where("n > 1")
-    held = scratch.table(held.select("content", F.col("best.id").alias("refers_to"), F.col("best.url").alias("refers_url"), (-F.col("best.place")).alias("refers_row")), "held")
-    low, width, first, spread = _shards(rows.select("id", "payload_bytes"), shard_bytes)
-    array = lambda x: F.split(F.lit(",".join(map(str, x))), ",").cast("array<int>")
-    bucket = _bucket(low, width)
-    shard = F.get(array(first), bucket) + F.when(F.get(array(spread), bucket) > 1, F.pmod(F.xxhash64("content", "url", "place"), F.get(array(spread), bucket)).cast("int")).otherwise(0)
-    small = rows.select("id", "url", "content", "place").join(held, "content").where("place <> refers_row").select("place", "refers_to", "refers_url", "refers_row")
-    small = scratch.table(small, "revisits")
-    # a revisit's payload is not written, so it is not shuffled
-    payload = F.when(F.col("refers_row").isNull(), F.col("payload"))
-    joined = rows.join(small, "place", "left").withColumns({"shard": shard, "payload": payload})
-    n = first[-1] + spread[-1]
+    # an array, as the URL itself may be null
+    held = scratch.table(held.select("content", F.col("best.id").alias("refers_to"), F.array("best.url").alias("refers_url"), (-F.col("best.place")).alias("refers_row")), "held")
+    alike = [F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0)).alias("id0"), F.col("url").isNull().alias("no_url"), F.coalesce("url", F.lit("")).alias("url0"), F.col("content").alias("content0")]
+    same = scratch.table(narrow.groupBy(*alike).agg(F.min("place").alias("first_row"), F.count("*").alias("copies")).where("copies > 1"), "same")
+    joined = narrow.select("place", "content", *alike).join(same, ["no_id", "id0", "no_url", "url0", "content0"], "left").join(held, "content", "left")
+    # what is known of rows that are not plain responses
+    odd = joined.where("copies IS NOT NULL OR refers_row IS NOT NULL").select("place", "copies", (F.col("place") != F.col("first_row")).alias("gone"), "refers_to", "refers_url", (F.col("place") == F.col("refers_row")).alias("holder"))
+    odd = scratch.table(odd, "odd")
+
+    def in_pieces(df: DataFrame) -> DataFrame:
+        """Rows to write, without those that another stands for, a row for each COPIES copies."""
+        df = df.join(odd, "place", "left").where("NOT coalesce(gone, false)").withColumn("copies", F.coalesce("copies", F.lit(1)))
+        return df.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES))))
+
+    bounds, mean = shard_bounds(in_pieces(narrow), shard_bytes)
+    roll_bytes = roll_bytes or min(ROLL_BYTES[1], max(ROLL_BYTES[0], mean // 8))
+
+    @F.arrow_udf("int")
+    def shard_of(id_: pa.Array, content: pa.Array, url: pa.Array, piece: pa.Array) -> pa.Array:
+        return pa.array([bisect.bisect_right(bounds, _key(*x)) for x in zip(*(c.to_pylist() for c in (id_, content, url, piece)), strict=True)], pa.int32())
+
+    # a payload that is not written is not shuffled
+    payload = F.when(F.col("refers_url").isNull() | F.col("holder") & (F.col("piece") == 0), F.col("payload"))
+    joined = in_pieces(rows).withColumns({"shard": shard_of("id", "content", "url", "piece"), "payload": payload})
     # a shard is a partition; by hash, some partitions would get several
-    parts = min(n, MOST_TASKS)
-    dealt = joined.repartitionById(parts, F.pmod("shard", F.lit(parts))).sortWithinPartitions("shard", F.asc_nulls_first("id"), "url", "content", "place")
+    dealt = joined.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.asc_nulls_first("id"), "content", F.coalesce("url", F.lit("")), "url", "piece")
     base = folder.rstrip("/")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,27 +202,26 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, *, id_col
                 out.append(tuple(now))
                 sink = None
 
-        shard, roll, like, ordinal = None, 0, None, 0
+        shard, roll = None, 0
         for batch in batches:
             for row in batch.to_pylist():
-                ordinal = ordinal + 1 if like == (row["shard"], row["id"], row["url"], row["content"]) else 0
-                like = (row["shard"], row["id"], row["url"], row["content"])
                 if row["shard"] != shard:
                     close()
                     shard, roll = row["shard"], 0
-                elif sink is not None and now[3] >= roll_bytes:
-                    close()
-                    roll += 1
-                if sink is None:
-                    file = f"part-{shard:06d}-{roll:05d}.warc.gz"
-                    now = [file, f"_temporary/{file}.{attempt}", 0, 0, hashlib.sha256()]
-                    fs.create_dir(f"{root}/_temporary", recursive=True)
-                    sink = fs.open_output_stream(f"{root}/{now[1]}")
-                data = record(row, ordinal)
-                sink.write(data)
-                now[2] += 1
-                now[3] += len(data)
-                now[4].update(data)
+                for copy in range(row["piece"] * COPIES, min(row["copies"], (row["piece"] + 1) * COPIES)):
+                    if sink is not None and now[3] >= roll_bytes:
+                        close()
+                        roll += 1
+                    if sink is None:
+                        file = f"part-{shard:06d}-{roll:05d}.warc.gz"
+                        now = [file, f"_temporary/{file}.{attempt}", 0, 0, hashlib.sha256()]
+                        fs.create_dir(f"{root}/_temporary", recursive=True)
+                        sink = fs.open_output_stream(f"{root}/{now[1]}")
+                    data = record(row, copy)
+                    sink.write(data)
+                    now[2] += 1
+                    now[3] += len(data)
+                    now[4].update(data)
         close()
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["file", "temporary", "records", "bytes", "sha256"])
@@ -228,7 +242,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, *, id_col
     done.write.mode("overwrite").parquet(f"{base}/_manifest")
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/_temporary")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    scratch.drop("rows", "held", "revisits", "manifest")
+    scratch.drop("rows", "held", "same", "odd", "manifest")
     return spark.read.schema(done.schema).parquet(f"{base}/_manifest")
 
 
