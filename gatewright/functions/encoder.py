@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,6 +26,19 @@ def onnx_encoder(path: str, prepare: Callable[[list[str]], dict[str, np.ndarray]
     return lambda texts: np.asarray(_session(path).run(None, prepare(texts))[output], np.float32)
 
 
+def hashing_encoder(dimensions: int = 256) -> Callable[[list[str]], np.ndarray]:
+    """An encoder without weights: how many lower-case tokens of a text, split at blanks, fall into each bucket by the first bytes of their MD5. Deterministic, so rankings through encode() can be tested end to end."""
+
+    def vectors(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), dimensions), np.float32)
+        for i, text in enumerate(texts):
+            for token in filter(None, text.lower().split(" ")):
+                out[i, int.from_bytes(hashlib.md5(token.encode()).digest()[:4], "big") % dimensions] += 1
+        return out
+
+    return vectors
+
+
 def encode(df: DataFrame, text: str, out: str, encoder: Callable[[list[str]], np.ndarray]) -> DataFrame:
     """df with a vector column; null text is encoded as empty. Arrow batches, no shuffle."""
 

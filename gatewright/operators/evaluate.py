@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .rank import OFFERED, rank
 
 
-def next_tools(log: DataFrame, key: str = "session_id", tool: str = "tool_id", ts: str = "ts", tie: str = "call_id") -> DataFrame:
-    """(current, next): each step's tool and that of the session's next step."""
-    order = Window.partitionBy(key).orderBy(ts, tie)
-    return log.select(F.col(tool).alias("current"), F.lead(tool).over(order).alias("next")).where("next IS NOT NULL")
+def next_tools(log: DataFrame, key: str = "session_id", tool: str = "tool_id", ts: str = "ts", tie: str = "call_id", bucket: str = "day") -> DataFrame:
+    """(current, next): each step's tool and that of the session's next step, if it has one. Rows of a null session follow each other; an empty log gives none.
+
+    As in state.as_of, a session's steps are cut by `bucket` of time: within one the
+    next row is looked at, and a bucket's last step takes the first tool of the session's next bucket.
+    """
+    log = log.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key"), F.col(key).isNull().alias("_none"), F.col(tool).alias("current"), F.col(ts).alias("_ts"), F.col(tie).alias("_tie"), F.date_trunc(bucket, ts).alias("_bucket"))
+    own = ("_key", "_none")
+    first = log.groupBy(*own, "_bucket").agg(F.min_by(F.struct("current"), F.struct("_ts", "_tie")).alias("_first"))
+    after = first.select(*own, "_bucket", F.lead("_first").over(Window.partitionBy(*own).orderBy("_bucket")).getField("current").alias("_after"))
+    within = log.withColumn("_next", F.lead(F.struct("current")).over(Window.partitionBy(*own, "_bucket").orderBy("_ts", "_tie")))
+    both = within.join(after.withColumnsRenamed({"_bucket": "_b", "_key": "_k", "_none": "_n"}), (F.col("_k") == F.col("_key")) & (F.col("_n") == F.col("_none")) & F.col("_b").eqNullSafe(F.col("_bucket")))
+    return both.select("current", F.when(F.col("_next").isNull(), F.col("_after")).otherwise(F.col("_next.current")).alias("next")).where("next IS NOT NULL")
 
 
 def recall_and_mrr(pairs: DataFrame, k: int = OFFERED) -> DataFrame:
-    """One row: how often the k most frequent successors of a tool hold the next one, and the mean of 1 / its rank among them."""
+    """One row: how often the k most frequent successors of a tool hold the next one, and the mean of 1 / its rank among them; nulls for no pairs."""
     counts = pairs.groupBy("current", "next").agg(F.count("*").alias("n"))
     scored = counts.select(F.col("current").alias("request_id"), F.col("next").alias("tool_id"), F.col("n").cast("double").alias("score"))
     places = rank(scored, k).select(F.col("request_id").alias("current"), F.col("tool_id").alias("next"), "rk")
@@ -33,3 +43,45 @@ def verdict_rollup(verdicts: DataFrame) -> DataFrame:
     grouped = verdicts.select("tool_id", F.coalesce("reason", F.lit("accepted")).alias("reason")).rollup("tool_id", "reason")
     counted = grouped.agg(F.count("*").alias("n"), F.grouping("tool_id").alias("g1"), F.grouping("reason").alias("g2"))
     return counted.select(F.when(F.col("g1") == 1, "all").otherwise(F.col("tool_id")).alias("tool_id"), F.when(F.col("g2") == 1, "all").otherwise(F.col("reason")).alias("reason"), "n")
+
+
+def verdict_cube(verdicts: DataFrame) -> DataFrame:
+    """Calls by every combination of tool and acceptance; 'all' where one is left out."""
+    counted = verdicts.select("tool_id", F.col("accepted").cast("string").alias("accepted")).cube("tool_id", "accepted").agg(F.count("*").alias("n"), F.grouping("tool_id").alias("g1"), F.grouping("accepted").alias("g2"))
+    return counted.select(F.when(F.col("g1") == 1, "all").otherwise(F.col("tool_id")).alias("tool_id"), F.when(F.col("g2") == 1, "all").otherwise(F.col("accepted")).alias("accepted"), "n")
+
+
+def verdicts_by_window(verdicts: DataFrame, width: str, slide: str | None = None, ts: str = "ts") -> DataFrame:
+    """(start, reason, n): verdicts by first reason in windows of time, tumbling or, with a slide, overlapping. Rows without a time count in none. Works on streams with a watermark as well."""
+    grouped = verdicts.groupBy(F.window(ts, width, slide).alias("w"), F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
+    return grouped.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "reason", "n")
+
+
+def visits(log: DataFrame, gap: str, key: str = "session_id", ts: str = "ts") -> DataFrame:
+    """(session_id, first, last, n): steps of a session that follow each other within a gap."""
+    grouped = log.groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.min(ts).alias("first"), F.max(ts).alias("last"), F.count("*").alias("n"))
+    return grouped.select(key, *[F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSS").alias(c) for c in ("first", "last")], "n")
+
+
+def tool_places(log: DataFrame, key: str = "session_id", tool: str = "tool_id") -> DataFrame:
+    """How often each session calls each tool, with its rank, dense rank and half among the session's tools. Counts come first, so a window holds a row a tool."""
+    n = log.groupBy(key, tool).agg(F.count("*").alias("n"))
+    most = Window.partitionBy(key).orderBy(F.desc("n"))
+    return n.select(key, tool, "n", F.rank().over(most).alias("place"), F.dense_rank().over(most).alias("dense_place"), F.ntile(2).over(Window.partitionBy(key).orderBy(F.desc("n"), tool)).alias("half"))
+
+
+def sessions_of_tools(log: DataFrame, key: str = "session_id", tool: str = "tool_id") -> DataFrame:
+    """(tool_id, sessions, near): sessions that call each tool, exactly, and whether a sketch of a fixed size comes within a tenth."""
+    counted = log.groupBy(tool).agg(F.countDistinct(key).alias("sessions"), F.approx_count_distinct(key, 0.02).alias("sketch"))
+    return counted.select(tool, "sessions", (F.abs(F.col("sketch") - F.col("sessions")) <= 0.1 * F.col("sessions")).alias("near"))
+
+
+def mean_reciprocal_rank(ranked: DataFrame, wanted: DataFrame, by: str) -> DataFrame:
+    """(by, mrr): the mean of 1 / rank of the wanted tool over the requests of each group; 0 where it was not offered. An own aggregate in Arrow batches, for measures that have no built-in form."""
+
+    @F.pandas_udf("double")
+    def mrr(places: pd.Series) -> float:
+        return float(places.rdiv(1.0).fillna(0.0).mean())
+
+    both = wanted.join(ranked.select("request_id", "tool_id", F.col("rk").cast("double").alias("rk")), ["request_id", "tool_id"], "left")
+    return both.groupBy(by).agg(F.round(mrr("rk"), 6).alias("mrr"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.arguments import argument_faults
 from ..sources.tables import small
 
+OUT = ("accepted", "reason", "reasons", "faults", "missing", "disallowed", "repair")
 REASONS = ("unknown", "illegal", "arguments", "prerequisites", "effects")
 
 
@@ -17,8 +18,10 @@ def check(calls: DataFrame, registry: DataFrame, legal: DataFrame) -> DataFrame:
     calls: session_id, tool_id, args_json, state, allowed; registry: tool_id,
     prereqs, effects, args; legal: session_id, tool_id. Null arrays are empty. For
     an unknown tool only that is said, as there is no contract to check against.
+    Columns of calls named like the result's give way to them; an empty table gives none.
     repair: JSON of what a call that would be accepted needs; null for an accepted call.
     """
+    calls = calls.select(*[c for c in calls.columns if c not in OUT])
     none = F.array().cast("array<string>")
     empty = lambda c: F.coalesce(F.col(c), none)
     known = registry.select("tool_id", F.struct("prereqs", "effects", "args").alias("_contract"))
@@ -37,4 +40,16 @@ def check(calls: DataFrame, registry: DataFrame, legal: DataFrame) -> DataFrame:
     found = found.withColumn("reasons", reasons).withColumn("reason", F.get("reasons", F.lit(0)))
     shape = F.to_json(F.struct(F.col("reason"), F.col("missing"), F.col("faults"), F.col("disallowed"), F.col("_contract.args").alias("args")), {"ignoreNullFields": "false"})
     out = found.withColumns({"accepted": F.col("reason").isNull(), "repair": F.when(F.col("reason").isNotNull(), shape)})
-    return out.select(*calls.columns, "accepted", "reason", "reasons", "faults", "missing", "disallowed", "repair")
+    return out.select(*calls.columns, *OUT)
+
+
+def frozen(calls: DataFrame, freezes: DataFrame, ts: str = "ts", bucket_seconds: int = 86_400) -> DataFrame:
+    """Calls made while their tool was frozen, with freeze_id, a row for each freeze. freezes: freeze_id, tool_id, since, until (not included).
+
+    A range join by equality: a freeze is one row for each bucket of time that it
+    touches, and calls meet it in theirs; the bounds are checked there. Null times or bounds match nothing.
+    """
+    bucket = lambda c: F.floor(F.unix_timestamp(F.col(c).cast("timestamp")) / bucket_seconds)
+    spans = freezes.where("since < until").select("freeze_id", "tool_id", "since", "until", F.explode(F.sequence(bucket("since"), bucket("until"))).alias("_bucket"))
+    at = calls.withColumn("_bucket", bucket(ts)).join(spans, ["tool_id", "_bucket"])
+    return at.where((F.col(ts) >= F.col("since")) & (F.col(ts) < F.col("until"))).select(*calls.columns, "freeze_id")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scoring
+from ..functions import encoder, scoring
+from ..functions.arguments import argument_faults
 from ..operators import evaluate, policy, rank, recover, state
 from ..sources import tables
 
 THRESHOLD = 0.15
+SCOPES = 4
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,8 +29,14 @@ def rank_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = tables.table(spark, sf_dir, "conversations").where("role = 'user'")
-    asked = turns.select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), "text")
-    return rank.score_words(asked, _items(spark, sf_dir), "text", "description")
+    asked = turns.select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), (F.col("turn") % SCOPES).alias("scope"), "text")
+    items = _items(spark, sf_dir)
+    return rank.score_words(asked, items, _in_scope(asked, items), "text", "description")
+
+
+def _in_scope(asked: DataFrame, items: DataFrame) -> DataFrame:
+    """(request_id, tool_id): stand-in for what is legal: a turn may use the items of its scope."""
+    return asked.select("request_id", "scope").join(items.select("tool_id", (F.col("tool_id") % SCOPES).alias("scope")), "scope").select("request_id", "tool_id")
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,6 +124,95 @@ def eval_recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.recall_and_mrr(evaluate.next_tools(tables.calls(spark, sf_dir)))
 
 
+def rank_with_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At each call, the two tools that its session may and should call next, by what it has seen, and whether each is ready."""
+    log = tables.calls(spark, sf_dir)
+    asked = state.before(log).select(F.col("call_id").alias("request_id"), "session_id", F.col("state").alias("facts"))
+    legal = asked.select("request_id", "session_id").join(tables.session_legal(log), "session_id").select("request_id", "tool_id")
+    found = rank.score_state(rank.candidates(asked, tables.contracts(spark).select("tool_id", "prereqs"), legal))
+    return rank.rank(found, 2, keep=("ready",))
+
+
+def legal_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with a legal tool."""
+    requests = tables.label_requests(spark, sf_dir)
+    return rank.with_any(requests, tables.unlocked(requests)).select("request_id")
+
+
+def rank_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexical requests ranked through the encoder path, with the encoder that needs no weights."""
+    turns = tables.table(spark, sf_dir, "conversations").where("role = 'user'")
+    asked = turns.select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), (F.col("turn") % SCOPES).alias("scope"), "text")
+    items, encode = _items(spark, sf_dir), encoder.hashing_encoder()
+    legal = _in_scope(asked, items)
+    found = rank.candidates(encoder.encode(asked, "text", "objective_vec", encode), encoder.encode(items, "description", "tool_vec", encode), legal)
+    return rank.rank(rank.score_vectors(found).where("score > 0"))
+
+
+def state_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of the sessions of two logs."""
+    log = tables.union_logs(calls=tables.calls(spark, sf_dir), turns=tables.turns(spark, sf_dir))
+    return state.fold(log).select("session_id", F.concat_ws(",", "facts").alias("facts"))
+
+
+def check_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of arguments under a contract of three: bounds on either side, an optional one, and keys that it does not name."""
+    args = [("k", "int", True, 10.0, 89.0), ("amount", "number", True, 0.0, 300.0), ("note", "string", False, None, None)]
+    contract = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("type"), F.lit(r).alias("required"), F.lit(lo).cast("double").alias("min"), F.lit(hi).cast("double").alias("max")) for n, t, r, lo, hi in args])
+    return tables.rich_calls(spark, sf_dir).select("call_id", F.concat_ws(",", argument_faults(F.col("args_json"), contract)).alias("faults"))
+
+
+def check_frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls made while their tool was frozen."""
+    freezes = spark.createDataFrame(FREEZES, "freeze_id int, tool_id string, since string, until string")
+    freezes = freezes.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("since", "until")})
+    return policy.frozen(tables.calls(spark, sf_dir), freezes).select("call_id", "freeze_id")
+
+
+def verdict_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.verdict_cube(_verdicts(spark, sf_dir))
+
+
+def verdicts_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.verdicts_by_window(_verdicts(spark, sf_dir), "1 day")
+
+
+def verdicts_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts in windows of two days that begin each day."""
+    return evaluate.verdicts_by_window(_verdicts(spark, sf_dir), "2 days", "1 day")
+
+
+def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of a session within six hours of each other."""
+    return evaluate.visits(tables.calls(spark, sf_dir), "6 hours")
+
+
+def tool_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.tool_places(tables.calls(spark, sf_dir))
+
+
+def sessions_of_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.sessions_of_tools(tables.calls(spark, sf_dir))
+
+
+def eval_mrr_by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the tool of the level below stands among those offered, by level."""
+    requests = tables.label_requests(spark, sf_dir)
+    wanted = requests.where("level > 0").select("request_id", "level", (F.col("level") - 1).alias("tool_id"))
+    return evaluate.mean_reciprocal_rank(rank.rank(_scored(spark, sf_dir)), wanted, "level")
+
+
+def sql_offered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The engine's tables through SQL: sessions whose first call was accepted."""
+    return spark.sql(
+        "SELECT session_id, min_by(tool_id, ts) AS tool_id FROM {verdicts} GROUP BY session_id HAVING min_by(accepted, ts)",
+        verdicts=_verdicts(spark, sf_dir).select("session_id", "ts", "tool_id", "accepted"),
+    )
+
+
+#: Stand-ins for times at which a tool must not be called.
+FREEZES = [(1, "purchase", "2024-01-03 00:00:00", "2024-01-05 12:00:00"), (2, "click", "2024-01-05 06:00:00", "2024-01-05 18:30:00"), (3, "purchase", "2024-01-05 00:00:00", "2024-01-06 00:00:00"), (4, "view", "2024-01-09 00:00:00", "2024-01-09 00:00:00")]
+
 QUERIES = {
     "rank_topk": rank_topk,
     "rank_lexical": rank_lexical,
@@ -137,6 +234,20 @@ QUERIES = {
     "recover_updated_state": recover_updated_state,
     "abstain_outcome": abstain_outcome,
     "eval_recall_mrr": eval_recall_mrr,
+    "rank_with_state": rank_with_state,
+    "rank_encoded": rank_encoded,
+    "legal_requests": legal_requests,
+    "state_union": state_union,
+    "check_contract": check_contract,
+    "check_frozen": check_frozen,
+    "verdict_cube": verdict_cube,
+    "verdicts_per_day": verdicts_per_day,
+    "verdicts_sliding": verdicts_sliding,
+    "visits": visits,
+    "tool_places": tool_places,
+    "sessions_of_tools": sessions_of_tools,
+    "eval_mrr_by_level": eval_mrr_by_level,
+    "sql_offered": sql_offered,
 }
 
 _TOP = "row_number() OVER (PARTITION BY request_id ORDER BY score DESC, tool_id)"
@@ -144,17 +255,17 @@ _SCORED = """cells AS (SELECT vec_id, label, unnest(embedding) AS x, generate_su
 means AS (SELECT label AS tool_id, pos, avg(x::DOUBLE) AS m FROM cells GROUP BY 1, 2),
 scored AS (SELECT vec_id AS request_id, label AS level, tool_id, round(sum(x::DOUBLE * m), 6) AS score FROM cells JOIN means USING (pos) WHERE tool_id < label GROUP BY 1, 2, 3),
 ranked AS (SELECT * FROM (SELECT *, ROWNUMBER AS rk FROM scored) WHERE rk <= 3)""".replace("ROWNUMBER", _TOP)
-_WORDS = """asked AS (SELECT conv_id || '-' || turn AS request_id, list_filter(list_distinct(string_split(lower(text), ' ')), lambda t: t <> '') AS a FROM conversations WHERE role = 'user'),
-tools AS (SELECT item_id AS tool_id, text AS description, list_filter(list_distinct(string_split(lower(text), ' ')), lambda t: t <> '') AS b FROM benchmark),
+_WORDS = """asked AS (SELECT conv_id || '-' || turn AS request_id, turn % 4 AS scope, list_filter(list_distinct(string_split(lower(text), ' ')), lambda t: t <> '') AS a FROM conversations WHERE role = 'user'),
+tools AS (SELECT item_id AS tool_id, item_id % 4 AS scope, text AS description, list_filter(list_distinct(string_split(lower(text), ' ')), lambda t: t <> '') AS b FROM benchmark),
 pairs AS (SELECT request_id, tool_id, count(*) AS n, any_value(len(a)) AS na, any_value(len(b)) AS nb
-FROM (SELECT *, unnest(a) AS token FROM asked) JOIN (SELECT *, unnest(b) AS token FROM tools) USING (token) GROUP BY 1, 2),
+FROM (SELECT *, unnest(a) AS token FROM asked) JOIN (SELECT *, unnest(b) AS token FROM tools) USING (token, scope) GROUP BY 1, 2),
 words AS (SELECT * FROM (SELECT *, ROWNUMBER AS rk FROM (SELECT request_id, tool_id, round(n::DOUBLE / (na + nb - n), 6) AS score FROM pairs)) WHERE rk <= 3)""".replace("ROWNUMBER", _TOP)
 _CALLS = """contract(tool_id, prereqs, effects) AS (VALUES ('view', []::VARCHAR[], []::VARCHAR[]), ('click', ['view'], ['track']), ('purchase', ['view', 'click'], ['charge']), ('signup', [], ['write'])),
 seen AS (SELECT user_id, event_type AS fact, min({'ts': ts, 'id': event_id}) AS first FROM events GROUP BY 1, 2),
-stated AS (SELECT e.event_id AS call_id, any_value(e.event_type) AS tool_id, any_value(e.props) AS props,
+stated AS (SELECT e.event_id AS call_id, any_value(e.event_type) AS tool_id, any_value(e.props) AS props, any_value(e.user_id) AS session_id, e.ts,
 list_sort(coalesce(list(s.fact) FILTER (s.first < {'ts': e.ts, 'id': e.event_id}), [])) AS state
 FROM events e LEFT JOIN seen s ON s.user_id = e.user_id GROUP BY e.event_id, e.ts),
-checked AS (SELECT call_id, tool_id, c.tool_id IS NULL AS unknown, c.tool_id IS NOT NULL AND tool_id NOT IN ('view', 'click', 'purchase', 'error') AS illegal,
+checked AS (SELECT call_id, session_id, ts, tool_id, c.tool_id IS NULL AS unknown, c.tool_id IS NOT NULL AND tool_id NOT IN ('view', 'click', 'purchase', 'error') AS illegal,
 c.tool_id IS NOT NULL AND NOT coalesce(json_type(props, '$.k') IN ('UBIGINT', 'BIGINT') AND (props->>'$.k')::BIGINT <= 89, false) AS arguments,
 list_sort(list_filter(coalesce(c.prereqs, []), lambda p: NOT list_contains(state, p))) AS missing,
 len(list_filter(coalesce(c.effects, []), lambda p: p NOT IN ('track', 'write'))) > 0 AS effects, state, c.prereqs
@@ -185,4 +296,28 @@ ASOF LEFT JOIN (SELECT event_id, user_id, ts::VARCHAR || lpad(event_id::VARCHAR,
     "eval_recall_mrr": """WITH steps AS (SELECT event_type AS current, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events),
 counts AS (SELECT current, next, count(*) AS n, row_number() OVER (PARTITION BY current ORDER BY count(*) DESC, next) AS rk FROM steps WHERE next IS NOT NULL GROUP BY 1, 2)
 SELECT sum(n)::BIGINT AS pairs, round(sum(CASE WHEN rk <= 3 THEN n ELSE 0 END)::DOUBLE / sum(n), 6) AS recall, round(sum(CASE WHEN rk <= 3 THEN n / rk::DOUBLE ELSE 0 END) / sum(n), 6) AS mrr FROM counts""",
+    "rank_with_state": f"""WITH {_CALLS}, found AS (SELECT call_id AS request_id, c.tool_id, state, c.prereqs AS needs FROM stated, contract c WHERE c.tool_id IN ('view', 'click', 'purchase')),
+judged AS (SELECT request_id, tool_id, round(CASE WHEN len(needs) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(needs, state))::DOUBLE / len(needs) END - CASE WHEN list_contains(state, tool_id) THEN 0.5 ELSE 0 END, 6) AS score, len(list_intersect(needs, state)) = len(needs) AS ready FROM found)
+SELECT request_id, rk, tool_id, score, ready FROM (SELECT *, {_TOP} AS rk FROM judged) WHERE rk <= 2""",
+    "rank_encoded": f"""WITH asked AS (SELECT conv_id || '-' || turn AS request_id, turn % 4 AS scope, ('0x' || substr(md5(t), 1, 8))::BIGINT % 256 AS bucket FROM (SELECT *, unnest(string_split(lower(text), ' ')) AS t FROM conversations WHERE role = 'user') WHERE t <> ''),
+tools AS (SELECT item_id AS tool_id, item_id % 4 AS scope, ('0x' || substr(md5(t), 1, 8))::BIGINT % 256 AS bucket FROM (SELECT *, unnest(string_split(lower(text), ' ')) AS t FROM benchmark) WHERE t <> ''),
+pairs AS (SELECT request_id, tool_id, count(*)::DOUBLE AS score FROM asked JOIN tools USING (scope, bucket) GROUP BY 1, 2)
+SELECT request_id, rk, tool_id, score FROM (SELECT *, {_TOP} AS rk FROM pairs) WHERE rk <= 3""",
+    "legal_requests": "SELECT vec_id AS request_id FROM embeddings WHERE label > 0",
+    "state_union": "SELECT session_id, string_agg(DISTINCT tool, ',' ORDER BY tool) AS facts FROM (SELECT 'calls-' || user_id AS session_id, event_type AS tool FROM events UNION ALL SELECT 'turns-' || conv_id, role FROM conversations) GROUP BY 1",
+    "check_contract": """SELECT event_id AS call_id, CASE WHEN event_id % 101 = 0 THEN 'bad_json' ELSE concat_ws(',', CASE WHEN event_id % 7 = 0 THEN 'unknown:other' END,
+CASE WHEN event_id % 13 = 0 OR event_id % 17 = 0 THEN 'type:k' WHEN event_id % 100 < 10 OR event_id % 100 > 89 THEN 'range:k' END,
+CASE WHEN event_id % 5 = 0 THEN 'missing:amount' WHEN event_id % 400 > 300 THEN 'range:amount' END, CASE WHEN event_id % 3 = 0 THEN 'type:note' END) END AS faults FROM events""",
+    "check_frozen": "SELECT event_id AS call_id, freeze_id FROM events JOIN (VALUES " + ", ".join(f"({i}, '{t}', TIMESTAMP '{a}', TIMESTAMP '{b}')" for i, t, a, b in FREEZES) + ") f(freeze_id, tool_id, since, until) ON event_type = tool_id AND ts >= since AND ts < until",
+    "verdict_cube": f"WITH {_CALLS} SELECT coalesce(tool_id, 'all') AS tool_id, coalesce(accepted, 'all') AS accepted, count(*) AS n FROM (SELECT tool_id, CASE WHEN len(reasons) = 0 THEN 'true' ELSE 'false' END AS accepted FROM verdict) GROUP BY CUBE (tool_id, accepted)",
+    "verdicts_per_day": f"WITH {_CALLS} SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, coalesce(reasons[1], 'accepted') AS reason, count(*) AS n FROM verdict GROUP BY 1, 2",
+    "verdicts_sliding": f"WITH {_CALLS} SELECT strftime(day, '%Y-%m-%d %H:%M:%S') AS start, reason, count(*) AS n FROM (SELECT coalesce(reasons[1], 'accepted') AS reason, unnest([date_trunc('day', ts)::TIMESTAMP, date_trunc('day', ts)::TIMESTAMP - INTERVAL 1 DAY]) AS day FROM verdict) GROUP BY 1, 2",
+    "visits": """WITH steps AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+numbered AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, new DESC ROWS UNBOUNDED PRECEDING) AS visit FROM steps)
+SELECT user_id AS session_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%g') AS first, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%g') AS last, count(*) AS n FROM numbered GROUP BY user_id, visit""",
+    "tool_places": """SELECT session_id, tool_id, n, rank() OVER (PARTITION BY session_id ORDER BY n DESC) AS place, dense_rank() OVER (PARTITION BY session_id ORDER BY n DESC) AS dense_place, ntile(2) OVER (PARTITION BY session_id ORDER BY n DESC, tool_id) AS half
+FROM (SELECT user_id AS session_id, event_type AS tool_id, count(*) AS n FROM events GROUP BY 1, 2)""",
+    "sessions_of_tools": "SELECT event_type AS tool_id, count(DISTINCT user_id) AS sessions, true AS near FROM events GROUP BY 1",
+    "eval_mrr_by_level": f"WITH {_SCORED} SELECT label AS level, round(avg(coalesce(1.0::DOUBLE / rk, 0.0)), 6) AS mrr FROM embeddings e LEFT JOIN ranked r ON r.request_id = e.vec_id AND r.tool_id = e.label - 1 WHERE label > 0 GROUP BY 1",
+    "sql_offered": f"WITH {_CALLS} SELECT session_id, arg_min(tool_id, ts) AS tool_id FROM verdict GROUP BY 1 HAVING arg_min(len(reasons) = 0, ts)",
 }

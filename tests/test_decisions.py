@@ -34,7 +34,8 @@ def test_rank_of_empty_tables(spark):
 def test_words(spark):
     asked = spark.createDataFrame([(1, "Read the File"), (2, None), (3, "nothing here")], "request_id long, t string")
     tools = spark.createDataFrame([("x", "read file"), ("y", "the the"), ("z", None)], "tool_id string, d string")
-    got = {(r.request_id, r.tool_id): r.score for r in rank.score_words(asked, tools, "t", "d").collect()}
+    legal = spark.createDataFrame([(i, t) for i in (1, 2, 3) for t in "xyz"], "request_id long, tool_id string")
+    got = {(r.request_id, r.tool_id): r.score for r in rank.score_words(asked, tools, legal, "t", "d").collect()}
     assert got == {(1, "x"): 0.666667, (1, "y"): 0.333333}
 
 
@@ -155,3 +156,66 @@ def test_encoder_hook(spark):
     got = encode(df, "t", "v", lambda texts: [[float(len(t)), 1.0] for t in texts]).collect()
     assert [r.v for r in got] == [[2.0, 1.0], [0.0, 1.0]]
     assert callable(onnx_encoder("no-such-file.onnx", lambda texts: {}))
+
+
+def test_menu_without_descriptions(spark):
+    tools = spark.createDataFrame([("a", None), ("b", "")], "tool_id string, d string")
+    offered = spark.createDataFrame([(1, 1, "a", 0.5)], "request_id long, rk int, tool_id string, score double")
+    assert tuple(rank.menu_reduction(offered, tools, "d").first()) == (1, 0, 0, None)
+    assert rank.menu_reduction(offered.limit(0), tools, "d").first().share is None
+
+
+def test_words_only_of_legal_tools(spark):
+    requests = spark.createDataFrame([(1, "a b c"), (2, None), (3, "x")], "request_id long, t string")
+    tools = spark.createDataFrame([("p", "a b"), ("q", "a b c"), ("r", None)], "tool_id string, d string")
+    legal = spark.createDataFrame([(1, "p"), (1, "r"), (2, "p"), (3, "q")], "request_id long, tool_id string")
+    assert [tuple(r) for r in rank.score_words(requests, tools, legal, "t", "d").collect()] == [(1, "p", 0.666667)]
+
+
+def test_rank_follows_facts(spark):
+    found = spark.createDataFrame([(1, "edit", ["open"], ["open", "lock"]), (1, "open", ["open"], []), (2, "edit", None, None), (3, "edit", ["lock", "open"], ["open", "lock", "open"])], "request_id long, tool_id string, facts array<string>, prereqs array<string>")
+    got = {(r.request_id, r.tool_id): (r.rk, r.score, r.ready) for r in rank.rank(rank.score_state(found), keep=("ready",)).collect()}
+    assert got == {(1, "edit"): (1, 0.5, False), (1, "open"): (2, 0.5, True), (2, "edit"): (1, 1.0, True), (3, "edit"): (1, 1.0, True)}
+
+
+def test_next_tools_over_buckets(spark):
+    day = 86400
+    rows = [(1, 1, 5, "a"), (2, 1, day, None), (3, 1, day + 1, "b"), (4, 1, 5 * day, "c"), (5, None, 1, "x"), (6, None, 2, "y"), (7, 2, 1, "z")]
+    log = spark.createDataFrame(rows, "call_id long, session_id long, ts int, tool_id string").withColumn("ts", F.timestamp_seconds("ts"))
+    assert sorted(map(tuple, evaluate.next_tools(log).collect()), key=str) == [("b", "c"), ("x", "y"), (None, "b")]
+    assert evaluate.next_tools(log.limit(0)).count() == 0
+
+
+def test_clashing_columns_and_empty_tables(spark, verdicts):
+    log = spark.createDataFrame([(1, 1, 1, "look", "{}"), (2, 1, 2, "look", "{}")], "call_id long, session_id long, ts int, tool_id string, args_json string").withColumn("ts", F.timestamp_seconds("ts"))
+    registry, legal = spark.createDataFrame([("look", [], [], None)], CONTRACT), spark.createDataFrame([(1, "look")], "session_id long, tool_id string")
+    clash = log.withColumns({c: F.lit("x") for c in ("state", "reason", "accepted", "faults", "repair")})
+    got = policy.check(state.before(clash).withColumn("allowed", F.array().cast("array<string>")), registry, legal).orderBy("call_id").collect()
+    assert [(r.state, r.accepted, r.reason, r.faults) for r in got] == [([], True, None, []), (["look"], True, None, [])]
+    none = log.limit(0)
+    assert policy.check(state.before(none).withColumn("allowed", F.array().cast("array<string>")), registry, legal).count() == 0
+    assert state.as_of(none, "call_id", "o").count() == 0 and state.fold(none).count() == 0
+    assert tuple(evaluate.recall_and_mrr(evaluate.next_tools(none)).first()) == (None, None, None)
+
+
+def test_union_keeps_sessions_apart(spark):
+    from gatewright.sources.tables import union_logs
+
+    a = spark.createDataFrame([(1, 7, "x")], "call_id long, session_id long, tool_id string")
+    got = union_logs(a=a, b=a.withColumn("ts", F.lit("2024-01-01 00:00:00"))).collect()
+    assert sorted((r.log, r.call_id, r.session_id, r.tool_id, r.ts is None) for r in got) == [("a", "a-1", "a-7", "x", True), ("b", "b-1", "b-7", "x", False)]
+
+
+def test_frozen(spark):
+    at = lambda *c: {x: F.col(x).cast("timestamp_ntz") for x in c}
+    calls = spark.createDataFrame([(1, "a", "2024-01-01 10:00:00"), (2, "a", "2024-01-02 00:00:00"), (3, "b", "2024-01-01 10:00:00"), (4, "a", None), (5, "a", "2024-01-04 00:00:00")], "call_id long, tool_id string, ts string").withColumns(at("ts"))
+    freezes = spark.createDataFrame([(1, "a", "2024-01-01 00:00:00", "2024-01-02 00:00:00"), (2, "a", "2024-01-01 09:00:00", "2024-01-04 00:00:00"), (3, "b", None, "2025-01-01 00:00:00"), (4, "b", "2024-02-01 00:00:00", "2024-01-01 00:00:00")], "freeze_id int, tool_id string, since string, until string").withColumns(at("since", "until"))
+    assert sorted((r.call_id, r.freeze_id) for r in policy.frozen(calls, freezes).collect()) == [(1, 1), (1, 2), (2, 2)]
+
+
+def test_small_is_judged_by_bytes_without_a_job(spark):
+    from gatewright.sources.tables import small
+
+    wide = spark.range(10).withColumn("s", F.repeat(F.lit("x"), 100))
+    assert "broadcast" in small(wide)._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" not in small(wide, 10)._jdf.queryExecution().logical().toString().lower()
