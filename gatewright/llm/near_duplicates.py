@@ -14,9 +14,11 @@
    the rest are verified on the whole sets. Links are counted there.
 
 A bucket or component above a block's size is cut into blocks, and each pair of
-blocks is a group of its own; no task holds more than two blocks. Work in a group
-of m different but near texts grows with its m^2 links, which are counted, but
-rows with m^2 / block.
+blocks is a group of its own; no task holds more than two blocks. A bucket's block is
+BUCKET_BLOCK signatures, a component's GROUP_BYTES of text or GROUP_ROWS rows, so a
+text is copied as often as its component has blocks of several megabytes; within a
+group, pairs are made TILE by TILE rows and only those that pass the pruning are
+verified. Work in a group of m different but near texts grows with its m^2 links, which are counted.
 
 Defined results: a null or empty text has no shingles, no links, and is its own
 class; a class_id is the least doc_id of the group (null ids last; the row's own
@@ -42,7 +44,7 @@ from .components import components
 from .scratch import Scratch
 
 HASHES, BANDS, STEP = 128, 32, 16
-BUCKET_BLOCK, GROUP_BLOCK = 1024, 256
+BUCKET_BLOCK, GROUP_ROWS, GROUP_BYTES, TILE = 1024, 2048, 4 << 20, 256
 BROADCAST_ROWS = 100_000
 OUT = ("class_id", "rep_id", "copies", "n_links", "keeper")
 
@@ -152,6 +154,17 @@ def _bucket_edges(threshold: float, tolerance: float):
     return edges
 
 
+def _union(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the trees of a and b in place: root[i] is always the least row of i's tree."""
+    while len(a):
+        p, q = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = p != q
+        a, b, p, q = a[apart], b[apart], p[apart], q[apart]
+        np.minimum.at(root, q, p)
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
 def _verified(threshold: float, tolerance: float, n: int):
     least = least_matches(threshold, tolerance)
 
@@ -166,25 +179,28 @@ def _verified(threshold: float, tolerance: float, n: int):
         for lo, hi in hashing.runs(group):
             m, split = hi - lo, np.searchsorted(block[lo:hi], block[lo], side="right")
             # within the one block, or between two
-            a, b = np.triu_indices(m, 1) if split == m else (x.ravel() for x in np.meshgrid(np.arange(split), np.arange(split, m), indexing="ij"))
-            if table["blocks"][lo].as_py() > 1 and split == m and table["i"][lo].as_py() != table["j"][lo].as_py():
-                a = b = np.zeros(0, np.int64)  # the other block of this pair is empty; pairs within are another group's
-            stay = surviving(sigs[lo:hi], a, b, least)
-            a, b = a[stay], b[stay]
+            within = split == m
+            if table["blocks"][lo].as_py() > 1 and within and table["i"][lo].as_py() != table["j"][lo].as_py():
+                m = 0  # the other block of this pair is empty; pairs within are another group's
             values, at = shingle_sets(texts.slice(lo, m), n)
-            size = np.diff(at)
-            both = overlaps(values, at, a, b)
-            ok = both >= threshold * (size[a] + size[b] - both) - 1e-9
-            a, b = a[ok], b[ok]
-            root = np.arange(m)
-            while len(a):  # labels spread along links until they agree
-                old = root.copy()
-                np.minimum.at(root, a, old[b])
-                np.minimum.at(root, b, old[a])
-                root = root[root]
-                if (root == old).all():
-                    break
-            out.append((row[lo:hi], np.bincount(np.r_[a, b].astype(np.int64), minlength=m), row[lo:hi][root]))
+            size, count, root = np.diff(at), np.zeros(hi - lo, np.int64), np.arange(hi - lo)
+            for x in range(0, m if within else split, TILE):
+                for y in range(x if within else split, m, TILE):
+                    left, right = np.arange(x, min(x + TILE, m if within else split)), np.arange(y, min(y + TILE, m))
+                    a, b = (v.ravel() for v in np.meshgrid(left, right, indexing="ij"))
+                    if x == y:
+                        a, b = a[a < b], b[a < b]
+                    stay = surviving(sigs[lo:hi], a, b, least)
+                    a, b = a[stay], b[stay]
+                    if not len(a):
+                        continue
+                    rows = left if x == y else np.concatenate([left, right])
+                    both = overlaps(np.concatenate([values[at[r] : at[r + 1]] for r in rows]), np.cumsum([0, *size[rows]]), np.searchsorted(rows, a), np.searchsorted(rows, b))
+                    ok = both >= threshold * (size[a] + size[b] - both) - 1e-9
+                    a, b = a[ok], b[ok]
+                    count += np.bincount(np.concatenate([a, b]), minlength=hi - lo)
+                    _union(root, a, b)
+            out.append((row[lo:hi], count, row[lo:hi][root]))
         cols = [np.concatenate(c).astype(np.int64) for c in zip(*out, strict=True)]
         return pa.table({k: pa.array(c) for k, c in zip(("row", "links", "root"), cols, strict=True)})
 
@@ -242,13 +258,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
     edges = scratch.table(_in_blocks(members.join(classes.select("row", "sig"), "row"), "band", "size", BUCKET_BLOCK, max(16, rows // 50_000)).applyInArrow(_bucket_edges(threshold, tolerance), "a long, b long"), "edges")
     scratch.drop("members", "buckets")
     groups = components(scratch, edges, "groups")
-    sizes = scratch.table(groups.groupBy("root").agg(F.count("*").alias("size")), "sizes")
+    lengths = signed.select(F.col("_nd_row").alias("node"), F.octet_length(text_col).alias("bytes"))
+    # in blocks' worth of rows or of text, whichever is more; in whole rows of a block
+    worth = F.ceil(F.greatest(F.count("*"), F.sum("bytes") / F.lit(GROUP_BYTES) * GROUP_ROWS)).cast("long")
+    sizes = scratch.table(groups.join(lengths, "node").groupBy("root").agg(worth.alias("size")), "sizes")
     grouped = scratch.table(groups.join(sizes, "root").select(F.col("node").alias("_nd_row"), F.col("root").alias("group"), "size"), "grouped")
-    count, most = grouped.agg(F.count("*"), F.max("size")).first()
+    most, worth = sizes.agg(F.max("size"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    count = grouped.count()
     texts = signed.select("_nd_row", F.col(text_col).alias("text"), F.col("_nd_sig").alias("sig")).join(F.broadcast(grouped) if count <= BROADCAST_ROWS else grouped, "_nd_row").withColumnRenamed("_nd_row", "row")
-    links = scratch.table(_in_blocks(texts, "group", "size", GROUP_BLOCK, max(16, count // 400)).applyInArrow(_verified(threshold, tolerance, n), "row long, links long, root long"), "links")
+    links = scratch.table(_in_blocks(texts, "group", "size", GROUP_ROWS, max(16, count // 400, worth // GROUP_ROWS)).applyInArrow(_verified(threshold, tolerance, n), "row long, links long, root long"), "links")
     scratch.drop("sizes", "grouped", "groups", "edges")
-    if (most or 0) > GROUP_BLOCK:
+    if (most or 0) > GROUP_ROWS:
         roots = components(scratch, links.select(F.col("row").alias("a"), F.col("root").alias("b")), "roots")
     else:
         roots = links.select(F.col("row").alias("node"), "root")  # each component was seen whole, so its roots are final

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 from itertools import combinations
 
@@ -8,7 +9,7 @@ from gatewright.llm import near_duplicates as nd
 from gatewright.llm.components import components
 from gatewright.llm.scratch import Scratch
 
-from .conftest import words
+from .conftest import prose, words
 
 
 def shingles(text, n=5):
@@ -59,7 +60,8 @@ def test_brute_force(spark, docs, rows):
 def test_groups_over_blocks(spark, monkeypatch):
     """A large group of near copies and one of copies, in many blocks of both kinds."""
     monkeypatch.setattr(nd, "BUCKET_BLOCK", 16)
-    monkeypatch.setattr(nd, "GROUP_BLOCK", 8)
+    monkeypatch.setattr(nd, "GROUP_ROWS", 8)
+    monkeypatch.setattr(nd, "TILE", 3)
     base = [f"u{i}" for i in range(60)]
     rows = [(i, " ".join(base[:k] + [f"x{i % 45}"] + base[k:])) for i, k in ((i, 5 + i % 3) for i in range(70))]
     rows += [(100 + i, "same text for all of these rows here") for i in range(50)]
@@ -111,3 +113,17 @@ def test_components(spark):
         root[y] = x
     got = components(Scratch(spark, "test"), spark.createDataFrame(edges, "a long, b long"), "c").collect()
     assert {r.node: r.root for r in got} == {x: top(x) for a, b in edges if a != b for x in (a, b)}
+
+
+def test_union_and_blocks_by_bytes(spark, monkeypatch):
+    root = np.arange(7)
+    nd._union(root, np.array([5, 6, 1]), np.array([6, 4, 3]))
+    nd._union(root, np.array([3, 2]), np.array([5, 2]))
+    assert root.tolist() == [0, 1, 2, 1, 1, 1, 1]
+    # near copies that make several blocks by bytes, though few by rows
+    monkeypatch.setattr(nd, "GROUP_BYTES", 2000)
+    rng = random.Random(3)
+    base = prose(rng, 100, 10**6).split()
+    rows = [(i, " ".join([*base[:50], f"x{i}", *base[51:]])) for i in range(40)] + [(100, prose(rng, 50, 10**6))]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in nd.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**{i: (0, 39) for i in range(40)}, 100: (100, 0)}
