@@ -51,6 +51,8 @@ _BSD_WARRANTY = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBU
 _BSD_TWO = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n"
 _ISC_WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
 _MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\n"
+_BOOST = 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:\n\nThe copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_UNLICENSE = 'This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\nIn jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n\nFor more information, please refer to <https://unlicense.org>'
 KNOWN = [
     ("MIT", _MIT + "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n" + _WARRANTY),
     ("MIT", "MIT License\n\n" + _MIT + "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n" + _WARRANTY),
@@ -62,11 +64,16 @@ KNOWN = [
         "Zlib",
         "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n\n3. This notice may not be removed or altered from any source distribution.",
     ),
+    ("BSL-1.0", _BOOST),
+    ("Unlicense", _UNLICENSE),
     ("Apache-2.0 (notice)", "Licensed under the Apache License, Version 2.0."),
     ("MIT (notice)", "Released under the MIT License."),
     ("GPL-3.0 (notice)", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0 (notice)", "Licensed under CC BY-NC 4.0."),
 ]
+# fixed values: titles that published copies begin with
+TITLES = {"BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "ISC": "ISC License", "0BSD": "BSD Zero Clause License", "Zlib": "zlib License", "BSL-1.0": "Boost Software License - Version 1.0 - August 17th, 2003", "Unlicense": "The Unlicense"}
+KNOWN += [(name, f"{TITLES[name]}\n\n{text}") for name, text in KNOWN if name in TITLES]
 # the SQL's rule: every line that begins so. It differs from NOTICES on body lines and on sentences after a notice, of which the test tables have none
 _MARK = "(^|\\n)[ \\t]*(copyright|\\(c\\)|\u00a9|all rights reserved)[^\\n]*"
 _YEAR = r"(?:(?:19|20)\d\d(?!\d)|[<\[{(][ \t]*(?:years?|yyyy|dates?|(?:19|20)\d\d)(?![a-z]))"
@@ -88,7 +95,8 @@ NOTICES = [
     rf"{_FIRST}all\s+rights\s+reserved(?![a-z]){_TAIL}",
     rf"{_FIRST}(?:copyright(?![a-z]|{_BODY})[^\n]{{0,120}}(?=\n|\z)\n?[ \t]{{0,99}}){{1,50}}(?=[\n\r]|\z)",
 ]
-_BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# punctuation, symbols, blanks and control characters of any script
+_BREAKS = r"[\p{P}\p{S}\p{Z}\p{Cc}]+"
 
 
 def canonical(text: Column) -> Column:
@@ -108,6 +116,12 @@ def known_digests(known: DataFrame) -> DataFrame:
     return form.groupBy(F.sha2("form", 256).alias("canonical_sha256")).agg(F.min("license_id").alias("license_id"))
 
 
+def read_known(spark: SparkSession, folder: str) -> DataFrame:
+    """Known texts of a folder of files, one licence each, whose names are the ids; for licences too long to be held here."""
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.txt)?$", 1)
+    return spark.read.text(folder, wholetext=True).select(name.alias("license_id"), F.col("value").alias("text"))
+
+
 def license_scan(spark: SparkSession, docs: DataFrame, known: DataFrame | None = None, *, text_col: str = "text") -> DataFrame:
     """docs with canonical_chars, canonical_sha256 and license_id (null where the text is no known licence). known: license_id, text."""
     known = known_digests(known if known is not None else spark.createDataFrame(KNOWN, "license_id string, text string"))

@@ -27,6 +27,31 @@ def test_licenses(spark, docs):
     assert license_scan.license_scan(spark, docs.limit(1).withColumn("text", F.lit("ONE\ntwo")), own).first().license_id == "a"
 
 
+def test_other_marks_and_files(spark, tmp_path):
+    """Marks of any script count as punctuation; known texts may come from files."""
+    mit = dict(license_scan.KNOWN)["MIT"]
+    texts = ["\u2022 " + mit.replace(". ", "\u2026 ").replace(", ", " \u00a7 "), "\u3010" + mit.replace(" ", "\u2003") + "\u3011"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert [r.license_id for r in license_scan.license_scan(spark, df).collect()] == ["MIT", "MIT"]
+    (tmp_path / "own-1.0.txt").write_text("Do as you like.\n\nBut say so.")
+    own = license_scan.read_known(spark, str(tmp_path))
+    got = license_scan.license_scan(spark, spark.createDataFrame([(1, "DO as you like; but\nsay so!"), (2, mit)], "doc_id int, text string"), own).orderBy("doc_id").collect()
+    assert [r.license_id for r in got] == ["own-1.0", None]
+
+
+def test_known_texts_in_sql(spark):
+    """Every known text in three layouts, by the SQL's own rule."""
+    rows = []
+    for name, text in license_scan.KNOWN:
+        whole = " ".join(text.split())
+        rows += [(name, text), (name, whole.upper()), (name, "Copyright (c) 2020 Some One\n\n" + text.replace("\n\n", "\n"))]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "doc_id int, expected string, text string").toPandas()
+    with duckdb.connect() as con:
+        con.register("documents", df)
+        got = dict(con.sql(f"SELECT doc_id, license_id FROM ({license_scan.oracle_sql()})").fetchall())
+    assert [got[i] for i in df.doc_id] == df.expected.tolist()
+
+
 def test_licenses_wrapped_at_any_width(spark):
     """Body lines that wrapping lets begin with 'copyright' stay; notices go, also in front of a text on one line."""
     notices = ["", "Copyright (c) 2020 J. R. Smith and Foo Inc. All rights reserved.", "\u00a9 2019-2021, Some One <a@b.org>", "(C) Copyright 2001 Some One.", "Copyright Some One"]
@@ -147,6 +172,42 @@ def test_toxicity_on_held_out_rows(spark, labelled):
     assert sum(bad) >= 0.9 * len(bad) and sum(good) <= 0.05 * len(good)
 
 
+def test_score_is_what_the_docstring_says(spark, labelled):
+    """The score of each text, made again from the dictionaries with plain zstandard calls."""
+    import math
+
+    import zstandard
+
+    df = spark.createDataFrame(labelled, "doc_id long, text string, toxic int")
+    model = toxicity.learn(spark, df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+
+    def packed(content, window):
+        use = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        options = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
+        return len(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=use, **options).compress(window + content[-64:]))
+
+    assert len(model.pairs) == toxicity.PAIRS and {len(d) for pair in model.pairs for d in pair} == {toxicity.CLASS_BYTES + toxicity.BASE_BYTES}
+    score = model.scorer()
+    for _, text, _ in labelled[:40]:
+        w = re.sub(r"[\W_]+", " ", text.lower()).strip().encode().split()
+        windows = [b" " + b" ".join(w[i : i + 6]) + b" " for i in range(0, len(w), 6)]
+        saved = [sum(max(0, packed(o, x) - packed(t, x)) for t, o in model.pairs) / len(model.pairs) for x in windows]
+        z = (sum(saved) - model.mean * len(saved)) / math.sqrt(model.variance * (len(saved) + 1))
+        assert score(text) == pytest.approx(1 / (1 + math.exp(-(model.slope * (z - model.cut) + math.log(0.7 / 0.3)))), abs=1e-9)
+
+
+def test_toxicity_by_language(spark):
+    """Figures that the README reports, on held-out rows of sf0.1."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = labels.join(toxicity.op6_toxicity(spark, sf).where("held_out"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    by = {(r.lang, r.toxic): (r.n, r.p) for r in rows.groupBy("lang", "toxic").agg(F.count("*").alias("n"), F.avg("predicted").alias("p")).collect()}
+    print({k: (n, round(p, 3)) for k, (n, p) in sorted(by.items())})
+    caught = sum(n * p for (_, y), (n, p) in by.items() if y) / sum(n for (_, y), (n, _) in by.items() if y)
+    alarms = sum(n * p for (_, y), (n, p) in by.items() if not y) / sum(n for (_, y), (n, _) in by.items() if not y)
+    assert caught > 0.4 and alarms < 0.03 and by["en", 1][1] > 0.7
+
+
 def test_toxicity_learns_nothing_from_held_out_rows(spark, labelled):
     df = spark.createDataFrame(labelled, "doc_id long, text string, toxic int")
     labels = df.select("doc_id", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")).alias("toxic"))
