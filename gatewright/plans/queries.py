@@ -133,6 +133,14 @@ def rank_with_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.rank(found, 2, keep=("ready",))
 
 
+def rank_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shape of the baseline's probe: every embedding asks, the first hundred are the tools, and all are legal."""
+    requests = tables.label_requests(spark, sf_dir).select("request_id", "objective_vec")
+    tools = tables.table(spark, sf_dir, "embeddings").where("vec_id < 100").select(F.col("vec_id").alias("tool_id"), F.col("embedding").alias("tool_vec"))
+    legal = requests.select("request_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(99).cast("long"))).alias("tool_id"))
+    return rank.rank(rank.score_vectors(rank.candidates(requests, tools, legal)))
+
+
 def legal_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests with a legal tool."""
     requests = tables.label_requests(spark, sf_dir)
@@ -236,6 +244,7 @@ QUERIES = {
     "eval_recall_mrr": eval_recall_mrr,
     "rank_with_state": rank_with_state,
     "rank_encoded": rank_encoded,
+    "rank_probe": rank_probe,
     "legal_requests": legal_requests,
     "state_union": state_union,
     "check_contract": check_contract,
@@ -302,6 +311,8 @@ SELECT request_id, rk, tool_id, score, ready FROM (SELECT *, {_TOP} AS rk FROM j
     "rank_encoded": f"""WITH asked AS (SELECT conv_id || '-' || turn AS request_id, turn % 4 AS scope, ('0x' || substr(md5(t), 1, 8))::BIGINT % 256 AS bucket FROM (SELECT *, unnest(string_split(lower(text), ' ')) AS t FROM conversations WHERE role = 'user') WHERE t <> ''),
 tools AS (SELECT item_id AS tool_id, item_id % 4 AS scope, ('0x' || substr(md5(t), 1, 8))::BIGINT % 256 AS bucket FROM (SELECT *, unnest(string_split(lower(text), ' ')) AS t FROM benchmark) WHERE t <> ''),
 pairs AS (SELECT request_id, tool_id, count(*)::DOUBLE AS score FROM asked JOIN tools USING (scope, bucket) GROUP BY 1, 2)
+SELECT request_id, rk, tool_id, score FROM (SELECT *, {_TOP} AS rk FROM pairs) WHERE rk <= 3""",
+    "rank_probe": f"""WITH pairs AS (SELECT a.vec_id AS request_id, b.vec_id AS tool_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE b.vec_id < 100)
 SELECT request_id, rk, tool_id, score FROM (SELECT *, {_TOP} AS rk FROM pairs) WHERE rk <= 3""",
     "legal_requests": "SELECT vec_id AS request_id FROM embeddings WHERE label > 0",
     "state_union": "SELECT session_id, string_agg(DISTINCT tool, ',' ORDER BY tool) AS facts FROM (SELECT 'calls-' || user_id AS session_id, event_type AS tool FROM events UNION ALL SELECT 'turns-' || conv_id, role FROM conversations) GROUP BY 1",
