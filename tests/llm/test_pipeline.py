@@ -114,3 +114,21 @@ def test_run(spark, sf, steps):
     got = corpus_pipeline.run(spark, sf)
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert Counter((r.doc_id, r.doc_tokens) for r in got.collect()).keys() == Counter((r.doc_id, r.doc_tokens) for r in steps[5]).keys()
+
+
+def test_stages_do_not_disturb_each_other(spark, sf):
+    """The result of a stage can be read after the same stage ran on other documents."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    a = corpus_pipeline.cut_repeated_passages(spark, docs.where("doc_id % 2 = 0"), sf)
+    b = corpus_pipeline.cut_repeated_passages(spark, docs.where("doc_id % 2 = 1"), sf)
+    assert a.count() + b.count() == docs.count()
+
+
+def test_no_documents_and_null_ids(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "a few words " * 20, None, None, 240), (1, "", "en", "s", 0)], docs.schema)
+    for name, stage in corpus_pipeline.STAGES:
+        # the mix takes no document without words, and packing none away
+        assert stage(spark, odd, sf).count() >= (1 if name == "source mix" else 3)
