@@ -124,8 +124,9 @@ def overlaps(values: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray) -
     several = np.bincount(key)[key] > 1
     key, row = np.cumsum(new & several)[several] - 1, row[several]
     total = np.zeros((n, n), np.int64)
-    step = max(1, (4 << 20) // max(1, n))
-    for lo in range(0, int(key[-1]) + 1 if len(key) else 0, step):
+    keys = int(key[-1]) + 1 if len(key) else 0
+    step = max(1, min(keys, (4 << 20) // max(1, n)))
+    for lo in range(0, keys, step):
         i, k = np.searchsorted(key, [lo, lo + step])
         dense = np.zeros((n, step), np.float32)
         dense[row[i:k], key[i:k] - lo] = 1
