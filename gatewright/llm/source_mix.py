@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 SHARD_ROWS, BLOCK = 512, 16
-TRIED, PASSES, RANKED = 16, 18, 2000
+TRIED, PASSES, RANKED = 16, 18, 20_000
 OUT = ("size", "source_size", "target", "taken")
 
 

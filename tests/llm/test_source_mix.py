@@ -35,7 +35,8 @@ def water(sizes, weights, share, most):
     return out
 
 
-def test_highest_quotients(spark):
+@pytest.mark.parametrize("ranked", [5, 20_000])
+def test_highest_quotients(spark, monkeypatch, ranked):
     rng = np.random.default_rng(8)
     parties, seats, expected = [], [], {}
     for g in range(60):
@@ -44,6 +45,7 @@ def test_highest_quotients(spark):
         parties += [(str(g), str(i), float(v), int(m)) for i, (v, m) in enumerate(zip(votes, most, strict=True))]
         seats.append((str(g), int(rng.integers(0, 200))))
         expected[str(g)] = votes, quotients(votes, seats[-1][1], most)
+    monkeypatch.setattr(source_mix, "RANKED", ranked)  # with passes, and without
     out = source_mix.apportion(Scratch(spark, "test"), spark.createDataFrame(parties, "group string, party string, votes double, most long"), spark.createDataFrame(seats, "group string, seats long"), "x", 3)
     got = defaultdict(dict)
     for r in out.collect():
