@@ -96,6 +96,25 @@ def surviving(sigs: np.ndarray, a: np.ndarray, b: np.ndarray, least: tuple[int,
     return alive
 
 
+def surviving_tile(left: np.ndarray, right: np.ndarray, least: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of rows of two small arrays stay. As in surviving(), but all pairs at once as long as many are left."""
+    hits, step = np.zeros((len(left), len(right)), np.int64), 0
+    alive = np.ones(hits.shape, bool)
+    while step < len(least) and alive.mean() > 0.25:
+        cols = slice(step * STEP, (step + 1) * STEP)
+        hits += np.count_nonzero(left[:, None, cols] == right[None, :, cols], axis=2)
+        alive &= hits >= least[step]
+        step += 1
+    a, b = np.nonzero(alive)
+    hits = hits[a, b]
+    for step in range(step, len(least)):
+        cols = slice(step * STEP, (step + 1) * STEP)
+        hits = hits + (left[a, cols] == right[b, cols]).sum(axis=1)
+        stay = hits >= least[step]
+        a, b, hits = a[stay], b[stay], hits[stay]
+    return a, b
+
+
 def forest(sigs: np.ndarray, least: tuple[int, ...]) -> list[tuple[int, int]]:
     """Edges that join rows of sigs in the components of the pairs that stay: each row reached is compared with those not yet reached."""
     left, edges = np.arange(len(sigs)), []
@@ -188,11 +207,10 @@ def _verified(threshold: float, tolerance: float, n: int):
             for x in range(0, m if within else split, TILE):
                 for y in range(x if within else split, m, TILE):
                     left, right = np.arange(x, min(x + TILE, m if within else split)), np.arange(y, min(y + TILE, m))
-                    a, b = (v.ravel() for v in np.meshgrid(left, right, indexing="ij"))
+                    a, b = surviving_tile(sigs[lo + left], sigs[lo + right], least)
+                    a, b = left[a], right[b]
                     if x == y:
                         a, b = a[a < b], b[a < b]
-                    stay = surviving(sigs[lo:hi], a, b, least)
-                    a, b = a[stay], b[stay]
                     if not len(a):
                         continue
                     rows = left if x == y else np.concatenate([left, right])

@@ -127,3 +127,16 @@ def test_union_and_blocks_by_bytes(spark, monkeypatch):
     rows = [(i, " ".join([*base[:50], f"x{i}", *base[51:]])) for i in range(40)] + [(100, prose(rng, 50, 10**6))]
     got = {r.doc_id: (r.class_id, r.n_links) for r in nd.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {**{i: (0, 39) for i in range(40)}, 100: (100, 0)}
+
+
+def test_tiles_prune_like_pairs():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 256, (30, nd.HASHES))
+    sigs = np.array([np.where(rng.random(nd.HASHES) < rng.choice([0.05, 0.2, 0.5, 1.0]), rng.integers(0, 256, nd.HASHES), base[i % 30]) for i in range(240)]).astype(np.uint8)
+    least = nd.least_matches(0.8, 1e-6)
+    for left, right in ((range(100), range(100, 240)), (range(0, 240, 30), range(0, 240, 30)), (range(3), range(0))):
+        left, right = np.array(left, np.int64), np.array(right, np.int64)
+        a, b = (v.ravel() for v in np.meshgrid(left, right, indexing="ij"))
+        stay = nd.surviving(sigs, a, b, least)
+        i, j = nd.surviving_tile(sigs[left], sigs[right], least)
+        assert sorted(zip(left[i], right[j], strict=True)) == sorted(zip(a[stay], b[stay], strict=True))
