@@ -6,6 +6,7 @@ from . import license_scan
 from .license_scan import op3_license_scan
 from .near_duplicates import op9_near_duplicates
 from .packing import op4_packing
+from .periodic_runs import op12_periodic_runs
 from .quality_rules import op5_quality_rules
 from .source_mix import op7_source_mix
 from .substring_dedup import op1_substring_dedup
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_vector_search": op8_vector_search,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_warc": op10_warc,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 #: Of records with equal payloads of 1000 bytes or more, the one with the largest id is the response.
