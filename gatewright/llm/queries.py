@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from . import license_scan
+from .hard_negatives import op11_hard_negatives
 from .license_scan import op3_license_scan
 from .near_duplicates import op9_near_duplicates
 from .packing import op4_packing
 from .periodic_runs import op12_periodic_runs
 from .quality_rules import op5_quality_rules
+from .sharding import op13_sharding
 from .source_mix import op7_source_mix
 from .substring_dedup import op1_substring_dedup
 from .token_counts import op2_token_counts
@@ -26,7 +28,9 @@ QUERIES = {
     "op8_vector_search": op8_vector_search,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_warc": op10_warc,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_sharding": op13_sharding,
 }
 
 #: Of records with equal payloads of 1000 bytes or more, the one with the largest id is the response.
