@@ -12,12 +12,14 @@ OFFERED = 3
 
 
 def candidates(requests: DataFrame, registry: DataFrame, legal: DataFrame) -> DataFrame:
-    """A row for each request and tool that is legal for it and in the registry."""
-    return requests.join(legal, "request_id").join(small(registry), "tool_id")
+    """A row for each request and tool that is legal for it and in the registry. Legal pairs are the large side, whatever an estimate says of them: they are sorted by request, which the short list's window then needs no more."""
+    return requests.join(legal.hint("merge"), "request_id").join(small(registry), "tool_id")
 
 
 def score_vectors(found: DataFrame) -> DataFrame:
-    """candidates with the dot product of objective_vec and tool_vec as score; those without a vector have none."""
+    """candidates with the dot product of objective_vec and tool_vec as score; pairs without two vectors of one length are none, a null component makes a null score."""
+    # asked of the inputs: a filter on the score would be pushed down and make it twice
+    found = found.where(F.size("objective_vec") == F.size("tool_vec"))
     return found.withColumn("score", scoring.dot(F.col("objective_vec"), F.col("tool_vec")))
 
 
@@ -46,7 +48,10 @@ def with_any(requests: DataFrame, legal: DataFrame) -> DataFrame:
 def rank(scored: DataFrame, k: int = OFFERED, order: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(request_id, rk, tool_id, score) of the k best, with the columns in keep; of equal scores the lesser tool_id. Rows without a score are no candidates; an empty table gives none."""
     best = Window.partitionBy("request_id").orderBy(F.desc("score") if order is None else order, F.asc("tool_id"))
-    return scored.where(F.col("score").isNotNull()).withColumn("rk", F.row_number().over(best)).where(F.col("rk") <= k).select("request_id", "rk", "tool_id", "score", *keep)
+    if order is not None:
+        scored = scored.where(F.col("score").isNotNull())
+    # nulls stand last in a descending order, so they take nothing from the first k
+    return scored.withColumn("rk", F.row_number().over(best)).where((F.col("rk") <= k) & F.col("score").isNotNull()).select("request_id", "rk", "tool_id", "score", *keep)
 
 
 def menu_reduction(ranked: DataFrame, registry: DataFrame, text: str) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import encoder, scoring
 from ..functions.arguments import argument_faults
 from ..operators import evaluate, policy, rank, recover, state
 from ..sources import tables
+from . import follow_up
 
 THRESHOLD = 0.15
 SCOPES = 4
@@ -154,7 +155,8 @@ def rank_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, encode = _items(spark, sf_dir), encoder.hashing_encoder()
     legal = _in_scope(asked, items)
     found = rank.candidates(encoder.encode(asked, "text", "objective_vec", encode), encoder.encode(items, "description", "tool_vec", encode), legal)
-    return rank.rank(rank.score_vectors(found).where("score > 0"))
+    # the first k hold all positive scores that are among them, so the filter may come last
+    return rank.rank(rank.score_vectors(found)).where("score > 0")
 
 
 def state_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,6 +259,7 @@ QUERIES = {
     "sessions_of_tools": sessions_of_tools,
     "eval_mrr_by_level": eval_mrr_by_level,
     "sql_offered": sql_offered,
+    **follow_up.QUERIES,
 }
 
 _TOP = "row_number() OVER (PARTITION BY request_id ORDER BY score DESC, tool_id)"
@@ -331,4 +334,5 @@ FROM (SELECT user_id AS session_id, event_type AS tool_id, count(*) AS n FROM ev
     "sessions_of_tools": "SELECT event_type AS tool_id, count(DISTINCT user_id) AS sessions, true AS near FROM events GROUP BY 1",
     "eval_mrr_by_level": f"WITH {_SCORED} SELECT label AS level, round(avg(coalesce(1.0::DOUBLE / rk, 0.0)), 6) AS mrr FROM embeddings e LEFT JOIN ranked r ON r.request_id = e.vec_id AND r.tool_id = e.label - 1 WHERE label > 0 GROUP BY 1",
     "sql_offered": f"WITH {_CALLS} SELECT session_id, arg_min(tool_id, ts) AS tool_id FROM verdict GROUP BY 1 HAVING arg_min(len(reasons) = 0, ts)",
+    **follow_up.ORACLE_SQL,
 }

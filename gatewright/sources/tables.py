@@ -26,7 +26,7 @@ CONTRACTS = [
 ]
 LEGAL_TOOLS = ["view", "click", "purchase", "error"]
 ALLOWED_EFFECTS = ["track", "write"]
-#: A registry is broadcast only if Spark's estimate of its size, which errs upwards, is at most this.
+#: A registry is broadcast only if Spark's estimate of its size is at most this.
 BROADCAST_BYTES = 64 << 20
 
 
@@ -35,8 +35,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """df with a broadcast hint if the optimizer knows that it is small, without running it; else as it is: Spark then goes by the size it measures."""
-    return F.broadcast(df) if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= most else df
+    """df with a broadcast hint if the optimizer knows that it is small, without running it; else as it is: Spark then goes by the size it measures. Of rows that a generator makes (explode, inline) the optimizer knows nothing, so they get no hint; write such a table first, and its files tell."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    made = any(line.lstrip("+-:! ").startswith(("Generate", "Expand")) for line in plan.toString().splitlines())
+    return F.broadcast(df) if not made and plan.stats().sizeInBytes() <= most else df
 
 
 def contracts(spark: SparkSession) -> DataFrame:

@@ -24,11 +24,15 @@ def duck():
     return con
 
 
+#: Fitted by Newton steps; tests/test_follow_up.py holds their weights against NumPy and their scores against SQL.
+NO_SQL = {"rank_joint", "eval_joint"}
+
+
 def test_each_query_has_sql():
-    assert QUERIES.keys() == ORACLE_SQL.keys()
+    assert QUERIES.keys() == ORACLE_SQL.keys() | NO_SQL and not ORACLE_SQL.keys() & NO_SQL
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", ORACLE_SQL)
 def test_same_rows(spark, duck, name):
     got, expected = QUERIES[name](spark, SF).toPandas(), duck.sql(ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(expected.columns)
