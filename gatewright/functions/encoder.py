@@ -13,17 +13,32 @@ from pyspark.sql import functions as F
 
 
 @functools.lru_cache(maxsize=2)
-def _session(path: str):
+def _session(model: str | bytes):
+    """One session a process and model, however many tasks run there."""
     import onnxruntime
 
     options = onnxruntime.SessionOptions()
     options.intra_op_num_threads = 1
-    return onnxruntime.InferenceSession(path, options, providers=["CPUExecutionProvider"])
+    return onnxruntime.InferenceSession(model, options, providers=["CPUExecutionProvider"])
 
 
-def onnx_encoder(path: str, prepare: Callable[[list[str]], dict[str, np.ndarray]], output: int = 0) -> Callable[[list[str]], np.ndarray]:
-    """Texts to FP32 vectors. prepare: model inputs for texts, as the model's tokenizer makes them; path: the model file on each worker."""
-    return lambda texts: np.asarray(_session(path).run(None, prepare(texts))[output], np.float32)
+def onnx_encoder(model: str | bytes, prepare: Callable[[list[str]], dict[str, np.ndarray]], output: int = 0) -> Callable[[list[str]], np.ndarray]:
+    """Texts to FP32 vectors. prepare: model inputs for texts, as the model's tokenizer makes them; model: its file on each worker, or its bytes, which travel to the workers with the function."""
+    return lambda texts: np.asarray(_session(model).run(None, prepare(texts))[output], np.float32)
+
+
+def by_length(encoder: Callable[[list[str]], np.ndarray], rows: int = 32) -> Callable[[list[str]], np.ndarray]:
+    """An encoder that gives texts of about one length to another, at most `rows` at a time, so that little is padded; vectors come in the order of the texts."""
+
+    def vectors(texts: list[str]) -> np.ndarray:
+        order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+        found = [encoder([texts[i] for i in order[at : at + rows]]) for at in range(0, len(order), rows)]
+        out = np.concatenate(found) if found else np.zeros((0, 0), np.float32)
+        back = np.empty_like(out)
+        back[order] = out
+        return back
+
+    return vectors
 
 
 def hashing_encoder(dimensions: int = 256) -> Callable[[list[str]], np.ndarray]:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import schemas, scoring
-from ..operators import calibrate, learn, rank, recover, repair, rerank
+from ..functions import contract_rows, schemas, scoring
+from ..operators import calibrate, learn, rank, recover, repair, rerank, sketches, theta
 from ..sources import stand_ins, tables
+from ..sources.steps import written
 
 #: The wanted share of wrong offers, and the share of the log's time that is learned from.
 ERRORS, EARLIER = 0.35, 2 / 3
@@ -59,7 +60,7 @@ def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def abstain_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offer or abstain, by the threshold from which on at most a share ERRORS of first offers is wrong, and how sure each offer is."""
-    offers = calibrate.written(_offers(spark, sf_dir), "calibrate-offers")
+    offers = written(_offers(spark, sf_dir), "calibrate-offers")
     blocks = calibrate.calibrate(offers)
     least = calibrate.threshold(blocks, ERRORS)
     out = recover.outcome(tables.label_requests(spark, sf_dir), offers, float("inf") if least is None else least)
@@ -72,13 +73,58 @@ def rerank_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     log, registry = stand_ins.graph_calls(spark, sf_dir), stand_ins.tool_graph(spark, sf_dir)
     asked = tables.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("request_id")).distinct()
     scope = (F.col("request_id") % stand_ins.SCOPES).alias("scope")
-    legal = rerank.written(asked.select("request_id", scope).join(stand_ins.graph_legal(spark, sf_dir), "scope").select("request_id", "tool_id"), "rerank-legal")
+    legal = written(asked.select("request_id", scope).join(stand_ins.graph_legal(spark, sf_dir), "scope").select("request_id", "tool_id"), "rerank-legal")
     lists = rerank.begin(asked.withColumn("facts", F.array().cast("array<string>")), registry, legal)
     for turns in ("turn < 2", "turn BETWEEN 2 AND 3", "turn > 3"):
         lists = rerank.follow(lists, log.where(turns).select(F.col("session_id").alias("request_id"), F.col("tool_id").alias("fact")), registry, legal)
     return rerank.offers(lists)
 
 
+def recover_followed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fresh candidates for each conversation after its calls: scored under the facts that it has by then, without what it was offered, and declined, before any of them."""
+    registry, calls = stand_ins.tool_graph(spark, sf_dir), stand_ins.graph_calls(spark, sf_dir)
+    asked = tables.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("request_id")).distinct()
+    facts = calls.groupBy(F.col("session_id").alias("request_id")).agg(F.collect_set("tool_id").alias("facts"))
+    scope = (F.col("request_id") % stand_ins.SCOPES).alias("scope")
+    legal = asked.select("request_id", scope).join(stand_ins.graph_legal(spark, sf_dir), "scope").select("request_id", "tool_id")
+    scored = lambda requests: rank.score_state(rank.candidates(requests, registry, legal)).select("request_id", "tool_id", "score")
+    before, now = asked.withColumn("facts", F.array().cast("array<string>")), asked.join(facts, "request_id", "left")
+    return recover.recover(scored(now), rank.rank(scored(before)))
+
+
+def rank_affordable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in for legality by budget and level: customers ask, suppliers are tools that cost their balance and need the level of their nation; of those that a request can afford and may use, the three dearest."""
+    asked = tables.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request_id"), F.col("c_acctbal").alias("budget"), F.col("c_nationkey").alias("level"))
+    tools = tables.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("tool_id"), F.col("s_acctbal").alias("cost"), F.col("s_nationkey").alias("need"))
+    legal = theta.inequality_join(asked, tools, ("budget", ">=", "cost"), ("level", ">=", "need"))
+    return rank.rank(legal.join(tools.select("tool_id", F.col("cost").alias("score")), "tool_id"))
+
+
+def sessions_in_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(span_id, tool_id, sessions, near): sessions that call each tool within spans of days, exactly, and whether what sketches stored a day tell of any span comes within 5 %; and so for sessions that bought without a click, as tool `only purchase`."""
+    log = tables.calls(spark, sf_dir)
+    stored = written(sketches.daily_sketches(log), "sketches")
+    spans = stored.select("day").distinct().select(F.date_format("day", "yyyyMMdd").cast("int").alias("span_id"), F.col("day").alias("first"), F.date_add("day", F.dayofmonth("day") % 9).alias("last"))
+    merged = written(sketches.of_spans(stored, spans), "merged")
+    told = sketches.sessions(merged).unionByName(sketches.without(merged, "purchase", "click").withColumn("tool_id", F.lit("only purchase"))).withColumnRenamed("sessions", "about")
+    days = spans.select("span_id", F.explode(F.sequence("first", "last")).alias("day"))
+    seen = log.select("session_id", "tool_id", F.to_date("ts").alias("day")).distinct().join(days, "day").select("span_id", "tool_id", "session_id").distinct()
+    bought, clicked = (seen.where(F.col("tool_id") == t).select("span_id", "session_id") for t in ("purchase", "click"))
+    only = bought.exceptAll(clicked).withColumn("tool_id", F.lit("only purchase"))
+    exact = seen.unionByName(only).groupBy("span_id", "tool_id").agg(F.count("*").alias("sessions"))
+    near = F.abs(F.col("about") - F.col("sessions")) <= F.greatest(F.lit(1.0), 0.05 * F.col("sessions"))
+    return exact.join(told, ["span_id", "tool_id"], "left").select("span_id", "tool_id", "sessions", F.coalesce(near, F.lit(False)).alias("near"))
+
+
+def contract_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and rules of the last readable version of each contract document, by a table function from SQL. Stand-in documents: items of the benchmark, in four versions, of which some do not parse."""
+    contract_rows.register(spark)
+    inner = """concat('{"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "maximum": ', v * 10 + item_id, '}, "tags": {"type": "array", "maxItems": ', item_id % 7, ', "items": {"type": "string", "pattern": "^a"}}, "to": {"anyOf": [{"type": "null"}, {"minimum": 0.5}]}}}')"""
+    documents = tables.table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("v"))
+    documents = documents.select(F.col("item_id").cast("string").alias("tool_id"), F.col("v").cast("long").alias("version"), F.expr(f"IF((item_id + v) % 3 = 0, '{{', {inner})").alias("document"))
+    return spark.sql("SELECT * FROM contract_rows(TABLE(SELECT * FROM {documents}) PARTITION BY tool_id ORDER BY (version), 'type,minimum,maximum,maxItems,pattern')", documents=documents)
+
+
 def _choices(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(earlier, later) legal pairs of guided calls, with crosses and whether they were chosen, cut at a share EARLIER of the log's time."""
     asked = stand_ins.guided_calls(spark, sf_dir)
@@ -89,7 +135,7 @@ def _choices(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     found = rank.score_state(rank.candidates(asked, tables.contracts(spark).select("tool_id", "prereqs"), legal))
     x = learn.crosses(F.col("objective"), F.col("facts"), F.col("tool_id"), F.col("ready"))
     pairs = found.withColumns({"x": x, "hit": F.col("tool_id") == F.col("chosen"), "earlier": at <= cut}).withColumnRenamed("score", "by_facts")
-    pairs = learn.written(pairs.select("request_id", "tool_id", "objective_vec", "by_facts", "x", "hit", "earlier"), "learn-pairs")
+    pairs = written(pairs.select("request_id", "tool_id", "objective_vec", "by_facts", "x", "hit", "earlier"), "learn-pairs")
     return pairs.where("earlier"), pairs.where("NOT earlier")
 
 
@@ -128,6 +174,10 @@ QUERIES = {
     "calibration": calibration,
     "abstain_calibrated": abstain_calibrated,
     "rerank_incremental": rerank_incremental,
+    "recover_followed": recover_followed,
+    "rank_affordable": rank_affordable,
+    "sessions_in_spans": sessions_in_spans,
+    "contract_places": contract_places,
 }
 
 _GRAPH = """tools AS (SELECT item_id::VARCHAR AS tool, item_id, list_distinct(list_concat(CASE WHEN item_id > 0 THEN [item_id // 2, item_id // 3] ELSE [] END, CASE item_id % 13 WHEN 5 THEN [item_id + 1] WHEN 6 THEN [item_id - 1] ELSE [] END))::VARCHAR[] AS needs FROM benchmark),
@@ -177,4 +227,19 @@ FROM embeddings CROSS JOIN cut LEFT JOIN offers ON request_id = vec_id LEFT JOIN
 scored AS (SELECT conv_id AS request_id, tool AS tool_id, round(CASE WHEN len(needs) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(needs, facts))::DOUBLE / len(needs) END - CASE WHEN list_contains(facts, tool) THEN 0.5 ELSE 0 END, 6) AS score
 FROM facts JOIN legal ON legal.scope = conv_id % 4 JOIN tools USING (tool))
 SELECT request_id, rk, tool_id, score FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, tool_id) AS rk FROM scored) WHERE rk <= 3""",
+    "recover_followed": f"""WITH {_GRAPH}, facts AS (SELECT c.conv_id, coalesce(list(DISTINCT k.tool) FILTER (k.tool IS NOT NULL), []) AS facts FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN calls k USING (conv_id) GROUP BY 1),
+pairs AS (SELECT conv_id, tool, needs, facts FROM facts JOIN legal ON legal.scope = conv_id % 4 JOIN tools USING (tool)),
+first AS (SELECT conv_id, tool FROM pairs QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY len(needs) > 0, tool) <= 3),
+scored AS (SELECT conv_id AS request_id, tool AS tool_id, round(CASE WHEN len(needs) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(needs, facts))::DOUBLE / len(needs) END - CASE WHEN list_contains(facts, tool) THEN 0.5 ELSE 0 END, 6) AS score FROM pairs ANTI JOIN first USING (conv_id, tool))
+SELECT request_id, rk, tool_id, score FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, tool_id) AS rk FROM scored) WHERE rk <= 3""",
+    "rank_affordable": """SELECT c_custkey AS request_id, row_number() OVER w AS rk, s_suppkey AS tool_id, s_acctbal AS score FROM customer JOIN supplier ON s_acctbal <= c_acctbal AND s_nationkey <= c_nationkey
+WINDOW w AS (PARTITION BY c_custkey ORDER BY s_acctbal DESC, s_suppkey) QUALIFY rk <= 3""",
+    "sessions_in_spans": """WITH spans AS (SELECT DISTINCT strftime(ts, '%Y%m%d')::INT AS span_id, ts::DATE AS a, ts::DATE + (day(ts) % 9)::INT AS b FROM events),
+seen AS (SELECT DISTINCT span_id, event_type AS tool_id, user_id FROM events JOIN spans ON ts::DATE BETWEEN a AND b),
+bought AS (SELECT span_id, user_id FROM seen WHERE tool_id = 'purchase' EXCEPT SELECT span_id, user_id FROM seen WHERE tool_id = 'click')
+SELECT span_id, tool_id, count(*) AS sessions, true AS near FROM (SELECT span_id, tool_id FROM seen UNION ALL SELECT span_id, 'only purchase' FROM bought) GROUP BY 1, 2""",
+    "contract_places": """WITH last AS (SELECT item_id, max(v)::BIGINT AS v FROM benchmark, range(1, 5) r(v) WHERE (item_id + v) % 3 <> 0 GROUP BY 1),
+spots(path, required, type) AS (VALUES ('$', true, 'object'), ('$.k', true, 'integer'), ('$.tags', false, 'array'), ('$.tags[]', false, 'string'), ('$.to', false, NULL), ('$.to|0', false, 'null'), ('$.to|1', false, NULL))
+SELECT item_id::VARCHAR AS tool_id, v AS version, path, required, type, CASE WHEN path = '$.to|1' THEN 0.5::DOUBLE END AS minimum, CASE WHEN path = '$.k' THEN (v * 10 + item_id)::DOUBLE END AS maximum,
+CASE WHEN path = '$.tags' THEN (item_id % 7)::BIGINT END AS "maxItems", CASE WHEN path = '$.tags[]' THEN '^a' END AS pattern FROM last, spots""",
 }

@@ -1,0 +1,181 @@
+"""The trace source, the table function, sketches, and an encoder with a model."""
+
+import datetime
+import json
+import os
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gatewright.functions import contract_rows
+from gatewright.functions.encoder import by_length, encode, onnx_encoder
+from gatewright.operators import sketches
+from gatewright.sources import traces
+
+
+def trace(folder, name, lines):
+    with open(os.path.join(folder, name), "w", encoding="utf-8") as file:
+        file.write("\n".join(lines) + "\n")
+
+
+def test_traces_as_a_table(spark, tmp_path):
+    traces.register(spark)
+    trace(tmp_path, "2024-01-01.trace", ['1704067200000 7 view 1 {"k": 1}', "", "1704067201500 - - 2 null"])
+    trace(tmp_path, "2024-01-02-a.trace", ["broken", '1704153600000 8 click 3 {"k": "a b"}', "1704153600000 8 click 4 {"])
+    trace(tmp_path, "2024-01-03.trace", [])
+    trace(tmp_path, "notes.txt", ["1 2 3 4 5"])
+    trace(tmp_path, "yesterday.trace", ["1 2 3 4 5"])
+    df = spark.read.format("calltrace").load(str(tmp_path))
+    got = {(str(r.day), r.call_id, r.session_id, r.tool_id, r.args_json, r.corrupt) for r in df.collect()}
+    assert got == {
+        ("2024-01-01", 1, 7, "view", '{"k": 1}', None),
+        ("2024-01-01", 2, None, None, "null", None),
+        ("2024-01-02", None, None, None, None, "broken"),
+        ("2024-01-02", 3, 8, "click", '{"k": "a b"}', None),
+        ("2024-01-02", None, None, None, None, "1704153600000 8 click 4 {"),
+    }
+    assert df.where("call_id = 2").select(F.unix_millis("ts")).first()[0] == 1704067201500
+
+
+def test_traces_of_other_days_are_not_opened(spark, tmp_path):
+    traces.register(spark)
+    for d in range(1, 8):
+        trace(tmp_path, f"2024-01-0{d}.trace", [f"1704067200000 {d} view {d} null"])
+    df = spark.read.format("calltrace").load(str(tmp_path))
+    assert df.rdd.getNumPartitions() == 7
+    some = df.where(F.col("day") == datetime.date(2024, 1, 3))
+    assert [r.call_id for r in some.collect()] == [3] and some.rdd.getNumPartitions() == 1
+    bounds = df.where((F.col("day") >= datetime.date(2024, 1, 5)) & (F.col("day") < datetime.date(2024, 1, 7)) & (F.col("session_id") > 5))
+    assert [r.call_id for r in bounds.collect()] == [6] and bounds.rdd.getNumPartitions() == 2
+    assert df.where(F.col("day") == datetime.date(2025, 1, 1)).count() == 0
+
+
+def test_traces_as_a_stream_that_restarts(spark, tmp_path):
+    traces.register(spark)
+    folder = tmp_path / "in"
+    folder.mkdir()
+
+    def run():
+        source = spark.readStream.format("calltrace").load(str(folder))
+        query = source.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return sorted(r.call_id for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    trace(folder, "2024-01-01.trace", ["1704067200000 1 view 1 null", "1704067200000 1 view 2 null"])
+    assert run() == [1, 2]
+    trace(folder, "2024-01-02.trace", ["1704067200000 1 view 3 null"])
+    trace(folder, "2024-01-02-b.trace", ["1704067200000 1 view 4 null"])
+    assert run() == [1, 2, 3, 4] and run() == [1, 2, 3, 4]
+
+
+def test_contract_rows(spark):
+    contract_rows.register(spark)
+    good = {"type": "object", "required": ["a"], "properties": {"a": {"type": ["integer", "null"], "minimum": 1}, "b": {"items": {"enum": ["x", 2]}, "uniqueItems": True, "maxItems": 3}, "c": {"anyOf": [{"const": None}, {"type": "string"}]}}}
+    rows = [("t", 2, json.dumps(good)), ("t", 1, '{"type": "array"}'), ("t", 3, "{"), ("u", 1, None), ("v", None, "true"), ("w", None, '{"minLength": 2}'), (None, 1, '{"type": "object"}')]
+    df = spark.createDataFrame(rows, "tool_id string, version long, document string").repartition(3)
+    got = spark.sql("SELECT * FROM contract_rows(TABLE(SELECT * FROM {df}) PARTITION BY tool_id ORDER BY (version), 'type, minimum,enum,maxItems,uniqueItems,minLength')", df=df)
+    assert dict(got.dtypes) | {"tool_id": "string"} == {"tool_id": "string", "version": "bigint", "path": "string", "required": "boolean", "type": "string", "minimum": "double", "enum": "string", "maxItems": "bigint", "uniqueItems": "boolean", "minLength": "bigint"}
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(
+        [
+            ("t", 2, "$", True, "object", None, None, None, None, None),
+            ("t", 2, "$.a", True, '["integer","null"]', 1.0, None, None, None, None),
+            ("t", 2, "$.b", False, None, None, None, 3, True, None),
+            ("t", 2, "$.b[]", False, None, None, '["x",2]', None, None, None),
+            ("t", 2, "$.c", False, None, None, None, None, None, None),
+            ("t", 2, "$.c|0", False, None, None, None, None, None, None),
+            ("t", 2, "$.c|1", False, "string", None, None, None, None, None),
+            ("w", 0, "$", True, None, None, None, None, None, 2),
+        ],
+        key=str,
+    )
+    with pytest.raises(Exception, match="no such rule"):
+        spark.sql("SELECT * FROM contract_rows(TABLE(SELECT * FROM {df}) PARTITION BY (tool_id), 'colour')", df=df)
+
+
+def test_sketches_of_any_span(spark):
+    log = spark.range(60_000).select((F.col("id") % 9000).alias("session_id"), F.when(F.col("id") % 3 == 0, "b").otherwise("a").alias("tool_id"), (F.lit(1704067200) + F.col("id") * 14).cast("timestamp").alias("ts"))
+    log = log.unionByName(log.limit(3).withColumn("session_id", F.lit(None).cast("long"))).unionByName(log.limit(3).withColumn("ts", F.lit(None).cast("timestamp")))
+    stored = sketches.daily_sketches(log)
+    day = lambda d: datetime.date(2024, 1, d)
+    spans = [(1, day(1), day(1)), (2, day(1), day(10)), (3, day(4), day(6)), (4, day(9), day(8)), (5, day(28), day(31))]
+    merged = sketches.of_spans(stored, spark.createDataFrame(spans, "span_id int, first date, last date"))
+    got = {(r.span_id, r.tool_id): r.sessions for r in sketches.sessions(merged).collect()}
+    rows = log.where("session_id IS NOT NULL AND ts IS NOT NULL").select("session_id", "tool_id", F.to_date("ts").alias("day")).distinct().collect()
+    exact, sets = {}, {}
+    for i, a, b in spans:
+        for r in rows:
+            if a <= r.day <= b:
+                sets.setdefault((i, r.tool_id), set()).add(r.session_id)
+    exact = {k: len(v) for k, v in sets.items()}
+    error = 3 / 2 ** (sketches.LOG / 2)
+    assert got.keys() == exact.keys() and all(abs(got[k] - exact[k]) <= max(1, error * exact[k]) for k in got)
+    only = {r.span_id: r.sessions for r in sketches.without(merged, "a", "b").collect()}
+    assert all(abs(only[i] - len(sets[i, "a"] - sets.get((i, "b"), set()))) <= max(1, error * exact[i, "a"]) for i in only) and only.keys() == {i for i, t in exact if t == "a"}
+
+
+def _varint(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def _field(number, value):
+    """One field of a protobuf message: whole numbers, text or bytes."""
+    if isinstance(value, int):
+        return _varint(number << 3) + _varint(value)
+    value = value.encode() if isinstance(value, str) else value
+    return _varint(number << 3 | 2) + _varint(len(value)) + value
+
+
+def _tensor(name, array):
+    kind = {"float32": 1, "int64": 7}[str(array.dtype)]
+    return b"".join(_field(1, d) for d in array.shape) + _field(2, kind) + _field(8, name) + _field(9, array.tobytes())
+
+
+def _value(name, kind, *dims):
+    shape = b"".join(_field(1, _field(2, d) if isinstance(d, str) else _field(1, d)) for d in dims)
+    return _field(1, name) + _field(2, _field(1, _field(1, kind) + _field(2, shape)))
+
+
+def _node(op, inputs, output, *attributes):
+    return b"".join(_field(1, i) for i in inputs) + _field(2, output) + _field(4, op) + b"".join(_field(5, a) for a in attributes)
+
+
+def a_model(table, weights):
+    """tanh((mean of the token vectors) x weights), as ONNX bytes: ids and mask go in, vectors come out."""
+    no_dims = _field(1, "keepdims") + _field(3, 0) + _field(20, 2)
+    nodes = [_node("Gather", ["table", "ids"], "rows"), _node("Unsqueeze", ["mask", "last"], "wide"), _node("Mul", ["rows", "wide"], "kept"), _node("ReduceSum", ["kept", "middle"], "sum", no_dims), _node("ReduceSum", ["wide", "middle"], "n", no_dims), _node("Div", ["sum", "n"], "mean"), _node("MatMul", ["mean", "weights"], "flat"), _node("Tanh", ["flat"], "out")]
+    constants = [_tensor("table", table), _tensor("weights", weights), _tensor("last", np.array([2], np.int64)), _tensor("middle", np.array([1], np.int64))]
+    graph = b"".join(_field(1, n) for n in nodes) + _field(2, "g") + b"".join(_field(5, c) for c in constants)
+    graph += _field(11, _value("ids", 7, "n", "l")) + _field(11, _value("mask", 1, "n", "l")) + _field(12, _value("out", 1, "n", weights.shape[1]))
+    return _field(1, 8) + _field(7, graph) + _field(8, _field(1, "") + _field(2, 13))
+
+
+def test_encoder_with_a_model(spark):
+    rng = np.random.default_rng(3)
+    table, weights = rng.standard_normal((64, 8)).astype(np.float32), rng.standard_normal((8, 4)).astype(np.float32)
+
+    def tokens(text):
+        return [1, *[ord(c) % 64 for c in text]]
+
+    padded = []
+
+    def prepare(texts):
+        ids = [tokens(t) for t in texts]
+        width = max(map(len, ids))
+        padded.append(width * len(ids))
+        return {"ids": np.array([i + [0] * (width - len(i)) for i in ids], np.int64), "mask": np.array([[1] * len(i) + [0] * (width - len(i)) for i in ids], np.float32)}
+
+    texts = ["x" * int(n) for n in rng.integers(0, 200, 300)] + [None, ""] + ["read the file", "ab"] * 20
+    expected = [np.tanh(table[tokens(t or "")].mean(axis=0, dtype=np.float64) @ weights) for t in texts]
+    model = a_model(table, weights)
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(6)
+    got = {r.i: r.v for r in encode(df, "t", "v", by_length(onnx_encoder(model, prepare), 16)).collect()}
+    assert len(got) == len(texts) and all(np.abs(np.array(got[i]) - e).max() < 1e-5 for i, e in enumerate(expected))
+    # and here: texts of one length together are padded little
+    given = [t or "" for t in texts]
+    by_length(onnx_encoder(model, prepare), 16)(given)
+    assert sum(padded) < 1.2 * sum(len(tokens(t)) for t in given)
+    assert by_length(onnx_encoder(model, prepare))([]).shape == (0, 0)
