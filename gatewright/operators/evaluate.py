@@ -2,26 +2,36 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .rank import OFFERED, rank
 
 
-def next_tools(log: DataFrame, key: str = "session_id", tool: str = "tool_id", ts: str = "ts", tie: str = "call_id", bucket: str = "day") -> DataFrame:
-    """(current, next): each step's tool and that of the session's next step, if it has one. Rows of a null session follow each other; an empty log gives none.
+def next_tools(log: DataFrame, key: str = "session_id", tool: str = "tool_id", ts: str = "ts", tie: str = "call_id", bucket: str = "day", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(current, next), with the columns in keep: each step's tool and that of the session's next step, if it has one. Rows of a null session follow each other; an empty log gives none.
 
     As in state.as_of, a session's steps are cut by `bucket` of time: within one the
     next row is looked at, and a bucket's last step takes the first tool of the session's next bucket.
     """
-    log = log.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key"), F.col(key).isNull().alias("_none"), F.col(tool).alias("current"), F.col(ts).alias("_ts"), F.col(tie).alias("_tie"), F.date_trunc(bucket, ts).alias("_bucket"))
+    log = log.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key"), F.col(key).isNull().alias("_none"), F.col(tool).alias("current"), F.col(ts).alias("_ts"), F.col(tie).alias("_tie"), F.date_trunc(bucket, ts).alias("_bucket"), F.struct(F.lit(0).alias("_"), *keep).alias("_kept"))
     own = ("_key", "_none")
     first = log.groupBy(*own, "_bucket").agg(F.min_by(F.struct("current"), F.struct("_ts", "_tie")).alias("_first"))
     after = first.select(*own, "_bucket", F.lead("_first").over(Window.partitionBy(*own).orderBy("_bucket")).getField("current").alias("_after"))
     within = log.withColumn("_next", F.lead(F.struct("current")).over(Window.partitionBy(*own, "_bucket").orderBy("_ts", "_tie")))
     both = within.join(after.withColumnsRenamed({"_bucket": "_b", "_key": "_k", "_none": "_n"}), (F.col("_k") == F.col("_key")) & (F.col("_n") == F.col("_none")) & F.col("_b").eqNullSafe(F.col("_bucket")))
-    return both.select("current", F.when(F.col("_next").isNull(), F.col("_after")).otherwise(F.col("_next.current")).alias("next")).where("next IS NOT NULL")
+    return both.select("current", F.when(F.col("_next").isNull(), F.col("_after")).otherwise(F.col("_next.current")).alias("next"), *[F.col(f"_kept.{c}").alias(c) for c in keep]).where("next IS NOT NULL")
+
+
+def recall_later(pairs: DataFrame, later: Column, by: str | None = None, k: int = OFFERED) -> DataFrame:
+    """(by, pairs, recall, mrr): as recall_and_mrr, but successors are counted on the pairs where `later` does not hold and tested on those where it does; in one row, or a row for each value of a column. A tool that was not seen before has no successors; a null `later` counts as earlier; without later pairs there are no rows, or one of nulls."""
+    held = F.coalesce(later, F.lit(False))
+    counts = pairs.where(~held).groupBy("current", "next").agg(F.count("*").cast("double").alias("score"))
+    places = rank(counts.select(F.col("current").alias("request_id"), F.col("next").alias("tool_id"), "score"), k).select(F.col("request_id").alias("current"), F.col("tool_id").alias("next"), "rk")
+    tested = pairs.where(held).groupBy(*([by] if by else []), "current", "next").agg(F.count("*").alias("n")).join(places, ["current", "next"], "left")
+    total = F.sum("n")
+    measures = [total.alias("pairs"), F.round(F.sum(F.when(F.col("rk").isNotNull(), F.col("n")).otherwise(0)) / total, 6).alias("recall"), F.round(F.sum(F.coalesce(F.col("n") / F.col("rk"), F.lit(0.0))) / total, 6).alias("mrr")]
+    return tested.groupBy(by).agg(*measures) if by else tested.agg(*measures)
 
 
 def recall_and_mrr(pairs: DataFrame, k: int = OFFERED) -> DataFrame:
@@ -77,11 +87,6 @@ def sessions_of_tools(log: DataFrame, key: str = "session_id", tool: str = "tool
 
 
 def mean_reciprocal_rank(ranked: DataFrame, wanted: DataFrame, by: str) -> DataFrame:
-    """(by, mrr): the mean of 1 / rank of the wanted tool over the requests of each group; 0 where it was not offered. An own aggregate in Arrow batches, for measures that have no built-in form."""
-
-    @F.pandas_udf("double")
-    def mrr(places: pd.Series) -> float:
-        return float(places.rdiv(1.0).fillna(0.0).mean())
-
+    """(by, mrr): the mean of 1 / rank of the wanted tool over the requests of each group; 0 where it was not offered. Repeated wanted rows count each; an empty table gives none; a null group is a group."""
     both = wanted.join(ranked.select("request_id", "tool_id", F.col("rk").cast("double").alias("rk")), ["request_id", "tool_id"], "left")
-    return both.groupBy(by).agg(F.round(mrr("rk"), 6).alias("mrr"))
+    return both.groupBy(by).agg(F.round(F.avg(F.coalesce(1 / F.col("rk"), F.lit(0.0))), 6).alias("mrr"))

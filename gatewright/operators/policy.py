@@ -21,7 +21,8 @@ def check(calls: DataFrame, registry: DataFrame, legal: DataFrame) -> DataFrame:
     Columns of calls named like the result's give way to them; an empty table gives none.
     repair: JSON of what a call that would be accepted needs; null for an accepted call.
     """
-    calls = calls.select(*[c for c in calls.columns if c not in OUT])
+    kept = [F.col(f"`{c}`") for c in calls.columns if c not in OUT]
+    calls = calls.select(F.struct(*kept).alias("call"), "session_id", "tool_id", "args_json", "state", "allowed")
     none = F.array().cast("array<string>")
     empty = lambda c: F.coalesce(F.col(c), none)
     known = registry.select("tool_id", F.struct("prereqs", "effects", "args").alias("_contract"))
@@ -40,16 +41,21 @@ def check(calls: DataFrame, registry: DataFrame, legal: DataFrame) -> DataFrame:
     found = found.withColumn("reasons", reasons).withColumn("reason", F.get("reasons", F.lit(0)))
     shape = F.to_json(F.struct(F.col("reason"), F.col("missing"), F.col("faults"), F.col("disallowed"), F.col("_contract.args").alias("args")), {"ignoreNullFields": "false"})
     out = found.withColumns({"accepted": F.col("reason").isNull(), "repair": F.when(F.col("reason").isNotNull(), shape)})
-    return out.select(*calls.columns, *OUT)
+    return out.select("call.*", *OUT)
 
 
 def frozen(calls: DataFrame, freezes: DataFrame, ts: str = "ts", bucket_seconds: int = 86_400) -> DataFrame:
     """Calls made while their tool was frozen, with freeze_id, a row for each freeze. freezes: freeze_id, tool_id, since, until (not included).
 
     A range join by equality: a freeze is one row for each bucket of time that it
-    touches, and calls meet it in theirs; the bounds are checked there. Null times or bounds match nothing.
+    touches between the first and the last call, so one without an end makes no more; calls meet
+    it in theirs, and the bounds are checked there. Null times or bounds match nothing; a column
+    of calls named freeze_id gives way; an empty table gives none.
     """
     bucket = lambda c: F.floor(F.unix_timestamp(F.col(c).cast("timestamp")) / bucket_seconds)
-    spans = freezes.where("since < until").select("freeze_id", "tool_id", "since", "until", F.explode(F.sequence(bucket("since"), bucket("until"))).alias("_bucket"))
-    at = calls.withColumn("_bucket", bucket(ts)).join(spans, ["tool_id", "_bucket"])
-    return at.where((F.col(ts) >= F.col("since")) & (F.col(ts) < F.col("until"))).select(*calls.columns, "freeze_id")
+    first, last = (calls.agg(f(bucket(ts))).scalar() for f in (F.min, F.max))
+    spans = freezes.where("since < until").select("freeze_id", "tool_id", "since", "until", F.greatest(bucket("since"), first).alias("a"), F.least(bucket("until"), last).alias("b"))
+    spans = spans.where("a <= b").select("freeze_id", "tool_id", "since", "until", F.explode(F.sequence("a", "b")).alias("bucket"))
+    packed = calls.select(F.struct(*[F.col(f"`{c}`") for c in calls.columns if c != "freeze_id"]).alias("call"), "tool_id", F.col(ts).alias("at"), bucket(ts).alias("bucket"))
+    met = packed.join(spans, ["tool_id", "bucket"])
+    return met.where((F.col("at") >= F.col("since")) & (F.col("at") < F.col("until"))).select("call.*", "freeze_id")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import contract_rows, schemas, scoring
-from ..operators import calibrate, learn, rank, recover, repair, rerank, sketches, theta
+from ..operators import calibrate, evaluate, learn, rank, recover, repair, rerank, sketches, theta
 from ..sources import stand_ins, tables
 from ..sources.steps import written
 
@@ -125,6 +125,12 @@ def contract_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT * FROM contract_rows(TABLE(SELECT * FROM {documents}) PARTITION BY tool_id ORDER BY (version), 'type,minimum,maximum,maxItems,pattern')", documents=documents)
 
 
+def eval_later(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the most frequent successors of the log's first twenty days predict the steps of each later day."""
+    steps = evaluate.next_tools(tables.calls(spark, sf_dir), keep=("ts",)).withColumn("day", F.dayofyear("ts"))
+    return evaluate.recall_later(steps, F.col("day") > 20, "day")
+
+
 def _choices(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(earlier, later) legal pairs of guided calls, with crosses and whether they were chosen, cut at a share EARLIER of the log's time."""
     asked = stand_ins.guided_calls(spark, sf_dir)
@@ -178,6 +184,7 @@ QUERIES = {
     "rank_affordable": rank_affordable,
     "sessions_in_spans": sessions_in_spans,
     "contract_places": contract_places,
+    "eval_later": eval_later,
 }
 
 _GRAPH = """tools AS (SELECT item_id::VARCHAR AS tool, item_id, list_distinct(list_concat(CASE WHEN item_id > 0 THEN [item_id // 2, item_id // 3] ELSE [] END, CASE item_id % 13 WHEN 5 THEN [item_id + 1] WHEN 6 THEN [item_id - 1] ELSE [] END))::VARCHAR[] AS needs FROM benchmark),
@@ -234,6 +241,9 @@ scored AS (SELECT conv_id AS request_id, tool AS tool_id, round(CASE WHEN len(ne
 SELECT request_id, rk, tool_id, score FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, tool_id) AS rk FROM scored) WHERE rk <= 3""",
     "rank_affordable": """SELECT c_custkey AS request_id, row_number() OVER w AS rk, s_suppkey AS tool_id, s_acctbal AS score FROM customer JOIN supplier ON s_acctbal <= c_acctbal AND s_nationkey <= c_nationkey
 WINDOW w AS (PARTITION BY c_custkey ORDER BY s_acctbal DESC, s_suppkey) QUALIFY rk <= 3""",
+    "eval_later": """WITH steps AS (SELECT event_type AS current, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next, dayofyear(ts)::INT AS day FROM events),
+counts AS (SELECT current, next, row_number() OVER (PARTITION BY current ORDER BY count(*) DESC, next) AS rk FROM steps WHERE next IS NOT NULL AND day <= 20 GROUP BY 1, 2 QUALIFY rk <= 3)
+SELECT day, count(*) AS pairs, round(count(rk)::DOUBLE / count(*), 6) AS recall, round(sum(coalesce(1.0::DOUBLE / rk, 0)) / count(*), 6) AS mrr FROM (SELECT * FROM steps WHERE next IS NOT NULL AND day > 20) LEFT JOIN counts USING (current, next) GROUP BY 1""",
     "sessions_in_spans": """WITH spans AS (SELECT DISTINCT strftime(ts, '%Y%m%d')::INT AS span_id, ts::DATE AS a, ts::DATE + (day(ts) % 9)::INT AS b FROM events),
 seen AS (SELECT DISTINCT span_id, event_type AS tool_id, user_id FROM events JOIN spans ON ts::DATE BETWEEN a AND b),
 bought AS (SELECT span_id, user_id FROM seen WHERE tool_id = 'purchase' EXCEPT SELECT span_id, user_id FROM seen WHERE tool_id = 'click')

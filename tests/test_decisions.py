@@ -219,3 +219,28 @@ def test_small_is_judged_by_bytes_without_a_job(spark):
     wide = spark.range(10).withColumn("s", F.repeat(F.lit("x"), 100))
     assert "broadcast" in small(wide)._jdf.queryExecution().logical().toString().lower()
     assert "broadcast" not in small(wide, 10)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_freezes_without_end_and_clashing_names(spark):
+    at = lambda *c: {x: F.col(x).cast("timestamp_ntz") for x in c}
+    calls = spark.createDataFrame([(1, "a", "2024-01-01 10:00:00"), (2, "a", "2024-03-02 00:00:00")], "call_id long, tool_id string, ts string").withColumns(at("ts")).withColumns({c: F.lit("x") for c in ("bucket", "since", "a", "at", "freeze_id", "_bucket")})
+    freezes = spark.createDataFrame([(1, "a", "2024-02-01 00:00:00", "9999-12-31 00:00:00"), (2, "a", "0001-01-01 00:00:00", "2024-02-01 00:00:00"), (3, "a", "2025-01-01 00:00:00", "9999-01-01 00:00:00")], "freeze_id int, tool_id string, since string, until string").withColumns(at("since", "until"))
+    got = policy.frozen(calls, freezes)
+    assert sorted((r.call_id, r.freeze_id, r.bucket, r.since, r["at"], r["_bucket"]) for r in got.collect()) == [(1, 2, "x", "x", "x", "x"), (2, 1, "x", "x", "x", "x")]
+    assert policy.frozen(calls.limit(0), freezes).count() == 0
+
+
+def test_check_passes_working_names_through(spark):
+    names = ["_known", "_legal", "_contract", "_prereqs", "_effects", "call", "missing_", "prereqs", "effects", "args"]
+    calls = spark.createDataFrame([(1, "look", "{}")], "session_id long, tool_id string, args_json string").withColumns({c: F.lit(c) for c in names})
+    calls = calls.withColumns({"state": F.array().cast("array<string>"), "allowed": F.array().cast("array<string>")})
+    registry, legal = spark.createDataFrame([("look", ["open"], [], None)], CONTRACT), spark.createDataFrame([(1, "look")], "session_id long, tool_id string")
+    r = policy.check(calls, registry, legal).first()
+    assert [r[c] for c in names] == names and (r.accepted, r.reasons, r.missing) == (False, ["prerequisites"], ["open"])
+
+
+def test_recall_on_later_pairs(spark):
+    pairs = spark.createDataFrame([("a", "x", 1)] * 3 + [("a", "y", 1)] * 2 + [("a", "y", 9), ("a", "z", 9), ("b", "x", 9), ("a", "x", 9), ("a", "x", 8), ("a", "x", None)], "current string, next string, day int")
+    assert {r.day: (r.pairs, r.recall, r.mrr) for r in evaluate.recall_later(pairs, F.col("day") > 5, "day").collect()} == {9: (4, 0.5, 0.375), 8: (1, 1.0, 1.0)}
+    assert tuple(evaluate.recall_later(pairs, F.col("day") > 5, k=1).first()) == (5, 0.4, 0.4)
+    assert evaluate.recall_later(pairs, F.lit(False), "day").count() == 0
