@@ -18,12 +18,17 @@ with the same base, trained on those as well. Of CANDIDATES such pairs the PAIRS
 tell calibration texts apart best are kept. No word list, and no statistic of words, is used.
 
 Bounds of the labelled sample, the only data that is sampled: MOST_TOXIC and
-MOST_ORDINARY texts, least by a hash of their id, each text whole; the driver and
-the tasks of the fit hold no more. Of near copies in it (by one MinHash value) one
-is used. Scoring covers every whole text and is a map without a shuffle.
+MOST_ORDINARY labelled ids, least by a hash, one text an id, each text whole, up to
+SAMPLE_BYTES of text a class in that order; the driver and the tasks of the fit hold no
+more. Of near copies in it (by one MinHash value) one is used. The fit within that sample is
+bounded too: bags compare with PLAIN_TEXTS ordinary texts a toxic one, whose windows alone
+are measured and train base and ordinary dictionaries, and an ordinary dictionary is
+trained on as many windows as its toxic one, PLAIN_WINDOWS at least. Scoring covers
+every whole text and is a map without a shuffle.
 
 Defined results: null or blank text has no windows and scores 0; rows whose id is null count as not held out, and teach nothing; of
-two labels of one id the higher counts; without a toxic or an ordinary label all
+two labels of one id the higher counts, of two texts the lesser, so an id that comes often
+widens nothing; without a toxic or an ordinary label all
 scores are 0; an empty table gives an empty result; input columns named
 held_out, score or predicted give way to the result's.
 """
@@ -36,14 +41,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import hashing
 from .scratch import let_workers_import
 
-MOST_TOXIC, MOST_ORDINARY = 1500, 4500
+MOST_TOXIC, MOST_ORDINARY, SAMPLE_BYTES = 1500, 4500, 64 << 20
+#: Ordinary texts measured for each toxic one, and the fewest windows that train an ordinary dictionary.
+PLAIN_TEXTS, PLAIN_WINDOWS = 2, 500
 BAGS, BAG_BYTES = 18, (1 << 10, 4 << 10, 16 << 10)
 CANDIDATES, PAIRS, CLASS_BYTES, BASE_BYTES, FILL_BYTES, LEVEL = 8, 2, 2 << 10, 128 << 10, 64, 3
 #: Share of ordinary windows that a toxic training window exceeds, and of those that train the ordinary dictionary and the base.
@@ -152,7 +160,7 @@ class Model:
         (bad, bad_held), (good, good_held) = (([t for i, t in enumerate(x) if i % 4 or len(x) < 4], [t for i, t in enumerate(x) if i % 4 == 0]) for x in (toxic, ordinary))
         bad, good = ([text_windows(t, FIT_WORDS) for t in x] for x in (bad, good))
         bad_held, good_held = ([text_windows(t) for t in x] for x in (bad_held, good_held))
-        measured = min(len(good), 2 * len(bad))
+        measured = min(len(good), PLAIN_TEXTS * len(bad))
         far, near = mean_distances(each(lambda bag: bag_distances(bag, bad, good, measured), bags), bad, good, measured)
         windows, plain = [w for d in bad for w in d], [w for d in good[:measured] for w in d]
         picked = [windows[i] for i in np.flatnonzero(far > np.quantile(near, NEARER))] or windows
@@ -162,7 +170,7 @@ class Model:
             rng = np.random.default_rng(candidate)
             # each but the first without another fifth of the picked windows
             some = [picked[i] for i in rng.permutation(len(picked))[: max(1, len(picked) * 4 // 5)]] if candidate else picked
-            alike = [plain[i] for i in rng.permutation(len(plain))[: max(len(some), 500)]]
+            alike = [plain[i] for i in rng.permutation(len(plain))[: max(len(some), PLAIN_WINDOWS)]]
             # the parts of the classes are of one length, so the base is as far from either
             candidates.append(tuple(train(CLASS_BYTES, x) + base for x in (some, alike)))
 
@@ -214,9 +222,24 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_col: st
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
     usable = usable.groupBy(id_col).agg((F.max(label_col) > 0).alias("_toxic"))
     ids = [usable.where(F.col("_toxic") == which).orderBy(F.xxhash64(id_col), id_col).limit(most) for which, most in ((True, MOST_TOXIC), (False, MOST_ORDINARY))]
-    sample = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(ids[0].unionByName(ids[1])), id_col)
-    # repeated ids in docs cannot widen the sample
-    rows = sample.orderBy(F.xxhash64(id_col), id_col, "text").limit(MOST_TOXIC + MOST_ORDINARY).collect()
+    sample = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(ids[0].unionByName(ids[1]).withColumnRenamed(id_col, "id")), "id")
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The least text of each id of a task, and so at most the sampled ids of it."""
+        held: dict = {}
+        for batch in batches:
+            for id_, text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if id_ not in held or text < held[id_][0]:
+                    held[id_] = text, toxic
+        columns = [list(held), [t for t, _ in held.values()], [y for _, y in held.values()]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.types, strict=True)], kinds.names)
+
+    kinds = to_arrow_schema(sample.schema)
+    one = sample.mapInArrow(least, sample.schema).groupBy("id", "_toxic").agg(F.min("text").alias("text"))
+    # at most MOST_TOXIC + MOST_ORDINARY rows
+    first = (F.xxhash64("id"), F.col("id"))
+    held = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("_toxic").orderBy(*first).rowsBetween(Window.unboundedPreceding, 0))
+    rows = one.withColumn("held", held).where(F.col("held") <= SAMPLE_BYTES).orderBy(*first).collect()
 
     def each(use: Callable[[int], list[bytes]], n: int) -> list[list[bytes]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
