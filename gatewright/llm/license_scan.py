@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .given import Given
+
 BROADCAST_ROWS = 10_000
 OUT = ("canonical_chars", "canonical_sha256", "license_id")
 
@@ -126,10 +128,10 @@ def license_scan(spark: SparkSession, docs: DataFrame, known: DataFrame | None =
     """docs with canonical_chars, canonical_sha256 and license_id (null where the text is no known licence). known: license_id, text."""
     known = known_digests(known if known is not None else spark.createDataFrame(KNOWN, "license_id string, text string"))
     small = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    docs = docs.select(*[c for c in docs.columns if c not in OUT])
-    form = docs.withColumn("_form", canonical(F.col(text_col)))
-    keyed = form.select(*docs.columns, F.length("_form").cast("long").alias("canonical_chars"), F.sha2("_form", 256).alias("canonical_sha256"))
-    return keyed.join(F.broadcast(known) if small else known, "canonical_sha256", "left").select(*docs.columns, *OUT)
+    given = Given(docs, [c for c in docs.columns if c not in OUT])
+    form = given.df.withColumn("_form", canonical(F.col(given.name(text_col))))
+    keyed = form.select(*given.df.columns, F.length("_form").cast("long").alias("canonical_chars"), F.sha2("_form", 256).alias("canonical_sha256"))
+    return keyed.join(F.broadcast(known) if small else known, "canonical_sha256", "left").select(*given.back(), *OUT)
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,6 +41,7 @@ from pyspark.sql import types as T
 
 from . import hashing
 from .components import components
+from .given import Given
 from .scratch import Scratch
 
 HASHES, BANDS, STEP = 128, 32, 16
@@ -100,7 +101,7 @@ def surviving_tile(left: np.ndarray, right: np.ndarray, least: tuple[int, ...])
     """Which pairs of rows of two small arrays stay. As in surviving(), but all pairs at once as long as many are left."""
     hits, step = np.zeros((len(left), len(right)), np.int64), 0
     alive = np.ones(hits.shape, bool)
-    while step < len(least) and alive.mean() > 0.25:
+    while step < len(least) and alive.size and alive.mean() > 0.25:
         cols = slice(step * STEP, (step + 1) * STEP)
         hits += np.count_nonzero(left[:, None, cols] == right[None, :, cols], axis=2)
         alive &= hits >= least[step]
@@ -229,7 +230,8 @@ def _verified(threshold: float, tolerance: float, n: int):
 def near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6) -> DataFrame:
     """docs with class_id (the least id of the group of documents that links connect), rep_id (the least id with the same shingle set), copies (documents with that set), n_links (other sets at the threshold or above) and keeper (true for one document of each group)."""
     scratch = Scratch(spark, "near_duplicates")
-    docs = docs.select(*[c for c in docs.columns if c not in OUT and not c.startswith("_nd_")])
+    given = Given(docs, [c for c in docs.columns if c not in OUT])
+    docs, id_col, text_col = given.df, given.name(id_col), given.name(text_col)
     text_at = docs.columns.index(text_col)
     own = ["_nd_row", "_nd_d1", "_nd_d2", "_nd_n", "_nd_bands", "_nd_sig"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
@@ -298,7 +300,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
     out = signed.select(*docs.columns, "_nd_row", "_nd_d1", "_nd_d2").join(classes, ["_nd_d1", "_nd_d2"], "left")
     ids = [F.coalesce(c, id_col).alias(c) for c in ("class_id", "rep_id")]
     keeper = F.coalesce(F.col("_nd_top") == F.col("_nd_row"), F.lit(True)).alias("keeper")
-    return out.select(*docs.columns, *ids, F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"), keeper)
+    return out.select(*given.back(), *ids, F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"), keeper)
 
 
 def _in_blocks(df: DataFrame, key: str, size: str, block: int, groups: int):

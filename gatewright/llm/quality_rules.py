@@ -28,6 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .given import Given
 from .scratch import Scratch
 
 BUCKETS = 1 << 14
@@ -121,8 +122,9 @@ def quality(
 ) -> DataFrame:
     """docs with the columns OUT. trusted: rows with the ids of documents to take as the target."""
     scratch = Scratch(spark, "quality")
-    docs = docs.select(*[c for c in docs.columns if c not in OUT])
+    given = Given(docs, [c for c in docs.columns if c not in OUT])
     weights, target = gram_weights(spark, scratch, docs.select(id_col, text_col), trusted, id_col, text_col, buckets)
+    docs, text_col = given.df, given.name(text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(SPACE)) != "")
 
@@ -150,7 +152,7 @@ def quality(
     columns = {k: F.col(f"_m.{k}") for k in ("n_words", "word_chars", "n_repeat_words", "score")}
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     out = measured.withColumns(columns).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= -(rate + sampling / max(1, target) ** 0.5 + allowance / (2 * F.col("n_words") - 1))))
-    return out.select(*docs.columns, *OUT)
+    return out.select(*given.back(), *OUT)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

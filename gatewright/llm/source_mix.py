@@ -30,6 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .given import Given
 from .scratch import Scratch
 
 SHARD_ROWS, BLOCK = 512, 16
@@ -100,16 +101,31 @@ def overlap(lo: Column, hi: Column, start: Column, end: Column) -> Column:
     return F.greatest(F.lit(0), F.least(hi, end) - F.greatest(lo, start))
 
 
+def apart(scratch: Scratch, sized: DataFrame, most: int) -> DataFrame:
+    """sized, where of rows alike in id and text no more than `most` have one order, so that a text that many rows repeat fills many shards. Alike rows are numbered by input partition, each in a task, from the counts of those before; which row has which number makes no difference."""
+    hot = scratch.table(sized.groupBy("_order").agg(F.count("*").alias("n")).where(F.col("n") > most).select("_order"), "hot")
+    if hot.isEmpty():
+        return sized
+    part = F.shiftright("_at", 33).alias("_part")
+    alike = scratch.table(sized.select("_order", "_at", part).join(hot, "_order", "left_semi"), "alike")
+    before = Window.partitionBy("_order").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = alike.groupBy("_order", "_part").agg(F.count("*").alias("n")).select("_order", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
+    own = F.row_number().over(Window.partitionBy("_order", "_part").orderBy("_at"))
+    numbers = alike.withColumn("_own", own).join(bases, ["_order", "_part"]).select("_at", F.floor((F.col("_base") + F.col("_own") - 1) / most).alias("_pile"))
+    order = F.when(F.col("_pile") > 0, F.xxhash64("_order", "_pile")).otherwise(F.col("_order"))
+    return scratch.table(sized.join(numbers, "_at", "left").withColumn("_order", order).drop("_pile"), "apart")
+
+
 def mix(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", columns: list[str] | None = None, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = BLOCK, shard_rows: int = SHARD_ROWS, seed: int = 7) -> DataFrame:
     """docs (only `columns`, if given) with size (words), source_size, target (of the source), taken (words that the mix takes, repeats counted) and parts (array of start and length in words: what is taken beyond whole rounds)."""
     scratch = Scratch(spark, "source_mix")
-    keep = [c for c in columns or docs.columns if c not in (*OUT, "parts")]
+    given_ = Given(docs, [c for c in columns or docs.columns if c not in (*OUT, "parts")])
     size = F.regexp_count(F.coalesce(text_col, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     # null sorts last
     key = F.when(F.col(source_col).isNull(), "1").otherwise(F.concat(F.lit("0"), F.col(source_col)))
     content = F.xxhash64(F.coalesce(text_col, F.lit("")))
-    sized = docs.select(*keep, size.alias("size"), key.alias("_source"), content.alias("_content"), F.xxhash64(F.lit(seed), F.col(id_col), content).alias("_order"))
-    sized = scratch.table(sized, "sized")
+    sized = docs.select(*given_.columns, size.alias("size"), key.alias("_source"), content.alias("_content"), F.xxhash64(F.lit(seed), F.col(id_col), content).alias("_order"), F.monotonically_increasing_id().alias("_at"))
+    sized = apart(scratch, scratch.table(sized, "sized"), shard_rows)
     sources = ranked(scratch, sized.groupBy("_source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")), "_source", "sources")
     sources = sources.withColumn("weight", F.get(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights)).cast("int")))
     sources = scratch.table(targets(sources, share, most), "targets")
@@ -134,7 +150,7 @@ def mix(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", source_
     # the blocks from the first on, and those that lie at the front of the circle
     ahead, around = overlap(lo, hi, first, F.least(end, F.col("shard_size"))), overlap(lo, hi, F.lit(0), (F.col("_first") + F.col("_rest") - n) * block)
     parts = F.filter(F.array(F.struct(F.lit(0).cast("long").alias("start"), around.cast("long").alias("length")), F.struct(F.greatest(F.lit(0), first - lo).cast("long").alias("start"), ahead.cast("long").alias("length"))), lambda p: p.length > 0)
-    return placed.select(*keep, "size", "source_size", "target", (F.col("_rounds") * F.col("size") + ahead + around).cast("long").alias("taken"), parts.alias("parts"))
+    return placed.select(*given_.back(), "size", "source_size", "target", (F.col("_rounds") * F.col("size") + ahead + around).cast("long").alias("taken"), parts.alias("parts"))
 
 
 def taken_texts(mixed: DataFrame, text_col: str = "text") -> DataFrame:
@@ -147,8 +163,7 @@ def taken_texts(mixed: DataFrame, text_col: str = "text") -> DataFrame:
         F.when((part > 0) & (part < F.col("size")), F.array(some)).otherwise(F.array().cast("array<string>")),
     )
     kept = [c for c in mixed.columns if c not in (*OUT, "parts")]
-    out = mixed.where("taken > 0").withColumn("_texts", texts)
-    return out.select(*[F.col(c) for c in kept if c != text_col], F.explode("_texts").alias(text_col)).select(*kept)
+    return mixed.where("taken > 0").select(*[F.col(f"`{c}`") for c in kept if c != text_col], F.explode(texts).alias(text_col)).select(*[F.col(f"`{c}`") for c in kept])
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

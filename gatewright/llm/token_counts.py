@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .given import Given
 from .hashing import slices
 from .scratch import Scratch
 from .tokens import encoder, version_digest
@@ -46,7 +47,8 @@ def token_counts(
     """docs with n_bytes, n_tokens and over_limit (n_tokens > limit). cache: a shared folder, kept between calls; without one, a folder of this call."""
     scratch = Scratch(spark, "token_counts")
     cache, version = cache or f"{scratch.root}/cache", version_digest(tokenizer)
-    docs = docs.select(*[c for c in docs.columns if c not in OUT])
+    given = Given(docs, [c for c in docs.columns if c not in OUT])
+    docs, text_col = given.df, given.name(text_col)
     digest = F.unhex(F.sha2(normal(F.col(text_col)), 256))
     texts = docs.select(digest.alias("content"), normal(F.col(text_col)).alias("text"))
     known = _cached(spark, cache, version)
@@ -68,9 +70,10 @@ def token_counts(
     # one row a digest even if two writers appended the same text at once
     counts = scratch.table(_cached(spark, cache, version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     keyed = docs.withColumns({"n_bytes": F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long"), "_content": digest})
-    # left: a row is never lost, even if another process empties the cache meanwhile
-    joined = keyed.join(counts.withColumnRenamed("content", "_content"), "_content", "left").drop("_content")
-    return joined.select(*docs.columns, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # left: a row is never lost; if another process empties the cache meanwhile, that is an error and not a null
+    joined = keyed.join(counts.withColumnRenamed("content", "_content"), "_content", "left")
+    n = F.coalesce("n_tokens", F.raise_error(F.lit("the cache lost counts while they were read")).cast("long"))
+    return joined.select(*given.back(), "n_bytes", n.alias("n_tokens"), (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,3 +150,16 @@ def test_no_words_and_nothing(spark, empty):
     assert source_mix.mix(spark, empty).count() == 0
     none = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
     assert [(r.size, r.target, r.taken) for r in source_mix.mix(spark, none).collect()] == [(0, 0.0, 0)] * 2
+
+
+def test_rows_alike_fill_many_shards(spark):
+    """20,000 rows without an id and with one text: no shard has more than a few times the rows of the others, and any layout gives the same rows."""
+    alike = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b c d").alias("text"), F.lit("s").alias("source"))
+    others = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("w"), F.col("id"), F.lit("x y")).alias("text"), F.lit("s").alias("source"))
+    docs = alike.unionByName(others)
+    scratch = source_mix.Scratch(spark, "test")
+    sized = docs.withColumns({"_order": F.xxhash64("doc_id", "text"), "_at": F.monotonically_increasing_id()})
+    sizes = sorted(r["count"] for r in source_mix.apart(scratch, scratch.table(sized, "sized"), 512).groupBy("_order").count().collect())
+    assert sizes[-1] == 512 and sum(sizes) == 22_000 and len(sizes) == 2000 + 40
+    rows = lambda d: Counter((r.doc_id, r.text, r.taken, tuple(map(tuple, r.parts))) for r in source_mix.mix(spark, d).collect())
+    assert rows(docs.repartition(3)) == rows(docs.repartition(7))
