@@ -218,12 +218,13 @@ plans AS (SELECT call_id, string_agg(s.tool, ',' ORDER BY step, s.tool) AS steps
 walls AS (SELECT call_id, string_agg(b.tool, ',' ORDER BY b.tool) AS blocked FROM bad b JOIN calls c USING (call_id) WHERE b.tool <> c.tool GROUP BY 1)
 SELECT c.call_id, c.tool AS tool_id, g.tool IS NOT NULL AS reachable, CASE WHEN g.tool IS NOT NULL THEN coalesce(steps, '') END AS steps, CASE WHEN g.tool IS NULL THEN coalesce(blocked, '') END AS blocked
 FROM calls c LEFT JOIN good g ON g.call_id = c.call_id AND g.tool = c.tool LEFT JOIN plans p ON p.call_id = c.call_id LEFT JOIN walls w ON w.call_id = c.call_id""",
-    "check_nested": """WITH faults AS (SELECT event_id, CASE WHEN event_id % 101 = 0 THEN ['$:json'] ELSE list_concat(
-CASE WHEN event_id % 17 = 0 THEN ['$.z:unknown'] ELSE [] END, CASE WHEN event_id % 13 = 0 THEN ['$.k:type'] WHEN event_id % 100 > 89 THEN ['$.k:maximum'] ELSE [] END,
-CASE WHEN event_id % 3 = 2 THEN ['$.mode:enum'] ELSE [] END, CASE WHEN event_id % 4 = 2 THEN ['$.to:anyOf'] ELSE [] END, CASE WHEN event_id % 5 = 4 THEN ['$.items:maxItems'] ELSE [] END,
-list_transform(list_filter(range(event_id % 5), lambda i: (event_id + i) % 7 = 0), lambda i: '$.items[' || i || '].id:type'),
-list_transform(list_filter(range(event_id % 5), lambda i: (event_id + i) % 11 = 0), lambda i: '$.items[' || i || '].tag:pattern')) END AS f FROM events)
-SELECT event_id AS call_id, array_to_string(list_sort(f), ',') AS faults FROM faults""",
+    "check_nested": """WITH turns AS (SELECT conv_id || '-' || turn AS call_id, conv_id * 8 + turn AS n FROM conversations),
+faults AS (SELECT call_id, CASE WHEN n % 101 = 0 THEN ['$:json'] ELSE list_concat(
+CASE WHEN n % 17 = 0 THEN ['$.z:unknown'] ELSE [] END, CASE WHEN n % 13 = 0 THEN ['$.k:type'] WHEN n % 100 > 89 THEN ['$.k:maximum'] ELSE [] END,
+CASE WHEN n % 3 = 2 THEN ['$.mode:enum'] ELSE [] END, CASE WHEN n % 4 = 2 THEN ['$.to:anyOf'] ELSE [] END, CASE WHEN n % 5 = 4 THEN ['$.items:maxItems'] ELSE [] END,
+list_transform(list_filter(range(n % 5), lambda i: (n + i) % 7 = 0), lambda i: '$.items[' || i || '].id:type'),
+list_transform(list_filter(range(n % 5), lambda i: (n + i) % 11 = 0), lambda i: '$.items[' || i || '].tag:pattern')) END AS f FROM turns)
+SELECT call_id, array_to_string(list_sort(f), ',') AS faults FROM faults""",
     "calibration": f"WITH {_OFFERS} SELECT lo, hi, n, rights, round(share, 6) AS share FROM blocks",
     "abstain_calibrated": f"""WITH {_OFFERS},
 down AS (SELECT lo, sum(n) OVER w AS n, sum(rights) OVER w AS r FROM blocks WINDOW w AS (ORDER BY lo DESC)),

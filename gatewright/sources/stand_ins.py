@@ -45,10 +45,11 @@ def guided_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def schema_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(call_id, args_json): nested arguments made up from the event's number, with faults of every kind."""
-    items = """concat('[', array_join(transform(filter(sequence(0, 4), i -> i < event_id % 5), i -> concat('{"id": ', IF((event_id + i) % 7 = 0, '"x"', CAST(i AS STRING)), IF((event_id + i) % 11 = 0, ', "tag": "A1"', ', "tag": "a-1"'), '}')), ', '), ']')"""
-    to = """CASE event_id % 4 WHEN 0 THEN ', "to": {"email": "u@h"}' WHEN 1 THEN ', "to": {"phone": 5}' WHEN 2 THEN ', "to": {"phone": "5"}' ELSE '' END"""
-    k = "CASE WHEN event_id % 13 = 0 THEN '\"7\"' ELSE CAST(event_id % 100 AS STRING) END"
-    mode = "CASE event_id % 3 WHEN 0 THEN 'fast' WHEN 1 THEN 'slow' ELSE 'odd' END"
-    args = f"CASE WHEN event_id % 101 = 0 THEN '{{' ELSE concat('{{\"k\": ', {k}, ', \"mode\": \"', {mode}, '\", \"items\": ', {items}, {to}, IF(event_id % 17 = 0, ', \"z\": 1', ''), '}}') END"
-    return tables.table(spark, sf_dir, "events").select(F.col("event_id").alias("call_id"), F.expr(args).alias("args_json"))
+    """(call_id, args_json): nested arguments made up from the number of a turn, 8 * conversation + turn, with faults of every kind."""
+    items = """concat('[', array_join(transform(filter(sequence(0, 4), i -> i < n % 5), i -> concat('{"id": ', IF((n + i) % 7 = 0, '"x"', CAST(i AS STRING)), IF((n + i) % 11 = 0, ', "tag": "A1"', ', "tag": "a-1"'), '}')), ', '), ']')"""
+    to = """CASE n % 4 WHEN 0 THEN ', "to": {"email": "u@h"}' WHEN 1 THEN ', "to": {"phone": 5}' WHEN 2 THEN ', "to": {"phone": "5"}' ELSE '' END"""
+    k = "CASE WHEN n % 13 = 0 THEN '\"7\"' ELSE CAST(n % 100 AS STRING) END"
+    mode = "CASE n % 3 WHEN 0 THEN 'fast' WHEN 1 THEN 'slow' ELSE 'odd' END"
+    args = f"CASE WHEN n % 101 = 0 THEN '{{' ELSE concat('{{\"k\": ', {k}, ', \"mode\": \"', {mode}, '\", \"items\": ', {items}, {to}, IF(n % 17 = 0, ', \"z\": 1', ''), '}}') END"
+    turns = tables.table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("call_id"), (F.col("conv_id") * 8 + F.col("turn")).alias("n"))
+    return turns.select("call_id", F.expr(args).alias("args_json"))
