@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.steps import written
@@ -97,6 +97,17 @@ def follow(lists: Lists, news: DataFrame, registry: DataFrame, legal: DataFrame,
     return Lists(written(entries, "rerank-entries"), written(floors, "rerank-floors"), facts, changed.count() + again.count())
 
 
+def store(lists: Lists, path: str) -> None:
+    """Write lists to a folder, in place of what is there."""
+    for name in ("entries", "floors", "facts"):
+        getattr(lists, name).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load(spark: SparkSession, path: str) -> Lists:
+    """Lists of a folder; `touched` is not kept."""
+    return Lists(*(spark.read.parquet(f"{path}/{name}") for name in ("entries", "floors", "facts")), 0)
+
+
 def offers(lists: Lists, k: int = rank.OFFERED) -> DataFrame:
     """(request_id, rk, tool_id, score): what is offered now."""
     return rank.rank(lists.entries, k)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..sources.steps import written
 
-BLOCK = 4096
+BLOCK = 2048
 #: left <operator> right: whether values turn their sign, and whether equal ones match.
 _OPERATORS = {">=": (1, True), ">": (1, False), "<=": (-1, True), "<": (-1, False)}
 

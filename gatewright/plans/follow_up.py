@@ -11,7 +11,7 @@ from ..sources import stand_ins, tables
 from ..sources.steps import written
 
 #: The wanted share of wrong offers, and the share of the log's time that is learned from.
-ERRORS, EARLIER = 0.35, 2 / 3
+ERRORS, EARLIER = 0.6, 2 / 3
 
 SCHEMA = {
     "type": "object",

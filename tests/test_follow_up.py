@@ -279,3 +279,28 @@ def test_generated_rows_get_no_hint(spark):
     hinted = lambda df: "broadcast" in small(df)._jdf.queryExecution().logical().toString().lower()
     assert not hinted(spark.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(3_000_000)))))
     assert hinted(spark.range(9))
+
+
+def test_offers_follow_a_stream(spark, tmp_path):
+    from gatewright.streaming.offers import live_offers
+
+    rng = random.Random(8)
+    tools = [f"t{i:02d}" for i in range(12)]
+    graph = {t: rng.sample(tools, rng.choice([0, 1, 3])) for t in tools}
+    legal, facts = [(r, t) for r in range(5) for t in rng.sample(tools, 8)], {r: set() for r in range(5)}
+    registry, pairs = spark.createDataFrame(list(graph.items()), REGISTRY), spark.createDataFrame(legal, "request_id int, tool_id string")
+    lists = rerank.begin(spark.createDataFrame([(r, []) for r in facts], "request_id int, facts array<string>"), registry, pairs, reserve=1)
+    batches = [[(rng.randrange(5), rng.choice(tools)) for _ in range(3)] for _ in range(3)]
+    latest = {}
+    for n, batch in enumerate(batches):
+        spark.createDataFrame(batch, "request_id int, fact string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        source = spark.readStream.schema("request_id int, fact string").parquet(f"{tmp_path}/in")
+        live_offers(source, lists, registry, pairs, f"{tmp_path}/out", f"{tmp_path}/at", reserve=1, once=True).awaitTermination()
+        for r, f in batch:
+            facts[r].add(f)
+        expected = full(graph, legal, facts)
+        got = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out/offers/batch={n}").collect()]
+        assert set(got) == {x for x in expected if x[0] in {r for r, _ in batch}}
+        latest |= {r: {x for x in got if x[0] == r} for r, _ in batch}
+    assert all(latest[r] == {x for x in full(graph, legal, facts) if x[0] == r} for r in latest)
+    assert {p.name for p in (tmp_path / "out" / "lists").iterdir()} == {"1", "2"}
