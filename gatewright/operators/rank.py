@@ -12,8 +12,14 @@ OFFERED = 3
 
 
 def candidates(requests: DataFrame, registry: DataFrame, legal: DataFrame) -> DataFrame:
-    """A row for each request and tool that is legal for it and in the registry. Legal pairs are the large side, whatever an estimate says of them: they are sorted by request, which the short list's window then needs no more."""
-    return requests.join(legal.hint("merge"), "request_id").join(small(registry), "tool_id")
+    """A row for each request and tool that is legal for it and in the registry.
+
+    Legal pairs are the large side, whatever an estimate says of them: both sides are sorted by
+    request, which the short list's window then needs no more. In as many parts as the session shuffles to,
+    since scores cost far more than the bytes by which Spark would merge small parts.
+    """
+    parts = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return requests.repartition(parts, "request_id").join(legal.hint("merge"), "request_id").join(small(registry), "tool_id")
 
 
 def score_vectors(found: DataFrame) -> DataFrame:
