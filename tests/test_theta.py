@@ -51,3 +51,42 @@ def test_blocks_that_cannot_match_are_not_met(spark):
     lx, rx = np.sort(rng.random(400)), np.sort(rng.random(300))
     i, j = theta.matches(lx, np.ones(400), rx, np.zeros(300), (True, True))
     assert len(i) == sum((rx <= x).sum() for x in lx) and (rx[j] <= lx[i]).all()
+
+
+@pytest.mark.parametrize("ops", [(">=", ">="), (">", "<="), ("<", "<"), ("<=", ">")])
+@pytest.mark.parametrize("block", [1, 7, 4096])
+def test_nearest_are_those_of_a_nested_loop(spark, ops, block):
+    a, b = rows(1, 120, lambda i: i), rows(2, 90, lambda i: f"t{i}")
+    a, b = ([(n, v, None if y is None else float(y)) for n, v, y in t] for t in (a, b))
+    a, b = a + [(200, 39.0, float("inf")), (201, 0.5, -1.0)], b + [("u", 1.5, float("inf"))]
+    left, right = spark.createDataFrame(a, "request_id long, budget double, level double"), spark.createDataFrame(b, "tool_id string, cost double, need double")
+    left = left.repartition(3).withColumns({"id": F.lit("x"), "block": F.lit("y"), "x": F.lit(1)})
+    got = theta.inequality_nearest(left, right, ("budget", ops[0], "cost"), ("level", ops[1], "need"), 3, block=block)
+    assert got.columns == ["request_id", "tool_id", "value"]
+    fine, sign = lambda r: r[1] is not None and r[2] is not None and not math.isnan(r[1]), -1 if ops[0] in (">=", ">") else 1
+    expected, best = {}, {}
+    for x in a:
+        found = [(sign * y[1], y[0]) for y in b if fine(x) and fine(y) and HOLDS[ops[0]](x[1], y[1]) and HOLDS[ops[1]](x[2], y[2])]
+        expected[x[0]] = sorted(expected.get(x[0], []) + found)[:3]
+    for r in got.collect():
+        best.setdefault(r.request_id, []).append((sign * r.value, r.tool_id))
+    assert {q: sorted(v)[:3] for q, v in best.items()} == {q: v for q, v in expected.items() if v} and best
+
+
+def test_nearest_asks_few_blocks_and_few_pairs(spark):
+    """3,000 rows with some millions of matches, a third of them of one value: each row meets four blocks at most, and nine pairs or so come out."""
+    df = spark.range(3000).select(F.col("id").alias("request_id"), F.col("id").alias("tool_id"), F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.col("id").cast("double")).alias("v"), (F.col("id") % 7).cast("int").alias("y"))
+    join = lambda how, *more: how(df, df, ("v", ">=", "v"), ("y", ">=", "y"), *more, block=64)
+    assert join(theta.inequality_join).count() > 2_000_000
+    assert join(theta.inequality_nearest, 3).count() <= 3000 * 4 * 3
+    low = np.arange(50.0)
+    i, b = theta.visits(np.full(4, 60.0), np.array([0.0, 1.0, 2.0, 5.0]), low, low + 1, np.array([[1.0, 1.0, 1.0]] + [[3.0, np.inf, np.inf]] * 49), (True, True))
+    assert sorted(zip(i.tolist(), b.tolist(), strict=True)) == [(1, 0), (2, 0), (3, 47), (3, 48), (3, 49)]
+
+
+def test_rank_affordable_makes_no_pair_that_is_not_asked_for(spark, monkeypatch):
+    """It joined all affordable pairs before it ranked them."""
+    from gatewright.plans import follow_up
+
+    monkeypatch.delattr(theta, "inequality_join")
+    assert follow_up.rank_affordable(spark, "/root/testdata/sf0.001").count() > 0
