@@ -266,6 +266,25 @@ def test_followed_lists_are_full_rankings(spark, reserve):
     assert offered() == full(graph, legal, facts) and lists.touched == 0
 
 
+def test_followed_lists_broadcast_by_rows_not_by_bytes(spark, monkeypatch):
+    """Pairs take a byte or two in files, so Spark broadcast millions of them through the driver. Here no table has few rows."""
+    monkeypatch.setattr(rerank, "FEW", -1)
+    plans, store = [], rerank.written
+
+    def watched(df, what):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df, what)
+
+    registry = spark.createDataFrame([(f"t{i:02d}", [f"t{i // 2:02d}"]) for i in range(20)], REGISTRY)
+    asked = store(spark.range(200).select(F.col("id").alias("request_id"), F.array().cast("array<string>").alias("facts")), "test-asked")
+    legal = store(asked.select("request_id").crossJoin(registry.select("tool_id")), "test-legal")
+    lists = rerank.begin(asked, registry, legal)
+    monkeypatch.setattr(rerank, "written", watched)
+    lists = rerank.follow(lists, asked.select("request_id", F.lit("t03").alias("fact")), registry, legal)
+    assert not [p for p in plans for line in p.splitlines() if "BroadcastHashJoin" in line and "request_id" in line.partition("Build")[0]]
+    assert lists.touched >= 400 and rerank.offers(lists).count() == 600
+
+
 def test_dot_product_once_and_null_scores(spark):
     found = spark.createDataFrame([(1, "a", [1.0, 0.0], [1.0, 2.0]), (1, "b", [1.0, 0.0], [None, 2.0]), (1, "c", [1.0], [1.0, 2.0]), (1, "d", None, [1.0])], "request_id int, tool_id string, objective_vec array<float>, tool_vec array<float>")
     ranked = rank.rank(rank.score_vectors(found))
@@ -304,3 +323,23 @@ def test_offers_follow_a_stream(spark, tmp_path):
         latest |= {r: {x for x in got if x[0] == r} for r, _ in batch}
     assert all(latest[r] == {x for x in full(graph, legal, facts) if x[0] == r} for r in latest)
     assert {p.name for p in (tmp_path / "out" / "lists").iterdir()} == {"1", "2"}
+
+
+def test_pairs_of_the_graph_are_made_in_many_tasks(spark):
+    """All requests, a few bytes each, met their tools in one task."""
+    asked, legal = follow_up._graph_asked(spark, "/root/testdata/sf0.01")
+    for df in (asked, legal):
+        assert df.select(F.spark_partition_id().alias("p")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rounds = follow_up.recover_followed(spark, "/root/testdata/sf0.01")
+    assert rounds._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 1
+
+
+def test_no_sketch_a_tool_and_session(spark):
+    """A distinct count beside a sketch made Spark carry one of 3 KB for each pair."""
+    from gatewright.operators import evaluate
+
+    log = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (None, "a"), (None, "b"), (3, None)], "session_id long, tool_id string")
+    out = evaluate.sessions_of_tools(log)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [p for p in plan.splitlines() if "approx_count" in p and "session_id" in p.partition("functions")[0]]
+    assert {tuple(r) for r in out.collect()} == {("a", 2, True), ("b", 0, True), (None, 1, True)}
