@@ -343,3 +343,23 @@ def test_no_sketch_a_tool_and_session(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert not [p for p in plan.splitlines() if "approx_count" in p and "session_id" in p.partition("functions")[0]]
     assert {tuple(r) for r in out.collect()} == {("a", 2, True), ("b", 0, True), (None, 1, True)}
+
+
+def test_small_differences_are_not_told_by_sketches(spark):
+    """30,000 sessions bought and all but 300 of them clicked: sketches say so instead of an estimate that is far off."""
+    from gatewright.operators import sketches
+
+    log2 = sketches.log_for(0.05)
+    log = spark.range(60_000).select((F.col("id") % 30_000).alias("session_id"), F.when(F.col("id") < 30_000, "a").otherwise("b").alias("tool_id"), F.lit("2024-01-01").cast("timestamp_ntz").alias("ts")).where("tool_id = 'a' OR session_id >= 300")
+    spans = spark.sql("SELECT 1 AS span_id, DATE'2024-01-01' AS first, DATE'2024-01-02' AS last")
+    merged = sketches.of_spans(sketches.daily_sketches(log, log2=log2), spans, log2)
+    assert sketches.without(merged, "a", "b", 0.05, log2).first().told is False
+    alone = sketches.without(merged, "a", "c", 0.05, log2).first()
+    assert alone.told and abs(alone.sessions - 30_000) <= 1500
+    assert log2 == 14 and 16384 >= (sketches.SIGMAS / 0.05) ** 2
+
+
+def test_vectors_of_tools_are_broadcast(spark):
+    """All later pairs met the tools' vectors in one task a tool, and each call carried its vector through an exchange for that."""
+    _, later = follow_up._choices(spark, "/root/testdata/sf0.001")
+    assert "objective_vec" not in later.columns and later.count() > 0
